@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.llm import packing, splitting, tokenizer
+from dowser.llm import neighbours, packing, splitting, tokenizer
 from dowser.tables import table
 
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
@@ -16,6 +16,10 @@ def _pieces(spark: SparkSession, sf_dir: str, name: str, text: str) -> DataFrame
         F.lit(name).alias("src_table"), F.col("id").alias("row_id"), "chunk_index", "chunk_start", "chunk_text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.mutual(neighbours.near(table(spark, sf_dir, "file_content_embedding"))).select("id_a", "id_b")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have a second piece."""
     found = [_pieces(spark, sf_dir, *t).where(F.col("chunk_index") == 1).select("src_table", "row_id") for t in TEXTS]
@@ -43,7 +47,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (1 - F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("unused"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill}
 
 #: Sizes as TESTDATA.md defines them.
 _SIZE = "length(regexp_replace(regexp_replace({0}, '[\\r\\n]+', chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'))"
