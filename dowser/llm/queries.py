@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.llm import neighbours, packing, splitting, tokenizer
+from dowser.llm import near_duplicates, neighbours, packing, splitting, tokenizer
 from dowser.tables import table
 
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
@@ -32,6 +32,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every[0].unionByName(every[1]).dropDuplicates(["src_table", "row_id", "chunk_index"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.pairs(table(spark, sf_dir, "file_info"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "file_info"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -47,11 +55,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (1 - F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("unused"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill}
 
 #: Sizes as TESTDATA.md defines them.
 _SIZE = "length(regexp_replace(regexp_replace({0}, '[\\r\\n]+', chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'))"
+_TRIPLES = """
+with t as (select id, any_value(content) as content from file_info where content is not null group by id),
+w as (select id, list_filter(regexp_split_to_array(lower(content), '[ \\t\\r\\n]+'), lambda x: x <> '') as w from t),
+g as (select id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 30),
+e as (select id, len(g) as n, unnest(g) as gram from g),
+shared as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as o from e a join e b on a.gram = b.gram and a.id < b.id group by all),
+pairs as (select id_a, id_b from shared where o >= 0.6 * (na + nb - o))
+"""
 SQL = {
+    "p4_found": _TRIPLES + "select id_a, id_b from pairs",
     "p3_found": " union ".join(
         f"select '{name}' as src_table, id as row_id from {name} where {_SIZE.format(text)} > {splitting.LIMIT}" for name, text in TEXTS),
 }
