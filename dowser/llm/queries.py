@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.llm import near_duplicates, neighbours, packing, splitting, tokenizer
+from dowser.llm import near_duplicates, neighbours, packing, quality, splitting, tokenizer
 from dowser.tables import table
 
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
@@ -55,7 +55,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (1 - F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("unused"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill}
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the label of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+           "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
 _SIZE = "length(regexp_replace(regexp_replace({0}, '[\\r\\n]+', chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'))"
