@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, compressed; for what is read more than once and is large. The table
+    is removed when the driver's program ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+
+    def remove() -> None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(folder)
