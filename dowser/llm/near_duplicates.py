@@ -2,9 +2,9 @@
 
 Two texts whose triple sets x and y share at least `share` of their union have an overlap of at least
 T = share / (1 + share) * (|x| + |y|), so x meets y in at least share * |x| of x's inverted lists. DivideSkip sets the
-longest lists aside: of the T that must be met, all but `merged` may lie in the long lists, so y is met at least
-`merged` times in the others. The short lists are merged and those texts kept that occur often enough; whether a
-candidate is in the long lists is then looked up by binary search.
+longest lists aside: of the T that must be met, all but some (`MERGED`, a share of the text's lists) may lie in the long
+ones, so y is met at least that often in the others. The short lists are merged and those texts kept that occur often
+enough; whether a candidate is in the other lists is then looked up by binary search.
 
 Lists are called long by a table of approximate frequencies with a fixed number of cells, which every worker gets;
 the result does not depend on it, since any order that all texts use alike serves. Texts that are equal are
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dowser.llm.neighbours import ranges
-from dowser.session import cut_lineage
+from dowser.session import cut_lineage, stored
 
 SHARE, WORDS, GRAM = 0.6, 30, 3
-CELLS = 1 << 19
-MERGED = 2
+CELLS = 1 << 17
+#: The share of a text's lists by which the merged lists are more than the least number that must be met.
+MERGED = 0.1
 #: Postings of one task of the merge, about.
 POSTINGS = 1_000_000
 
@@ -101,13 +102,19 @@ def _ordered(g: np.ndarray, table: np.ndarray) -> np.ndarray:
     return g[np.lexsort((g, table[_cell(g, len(table))]))]
 
 
-def _prefix(size: int, share: float, merged: int) -> int:
+def _times(size, merged: float):
+    """How often a text must be met in the short lists of one of `size` n-grams."""
+    return np.maximum(1, np.floor(size * merged)).astype(np.int64)
+
+
+def _prefix(size: int, share: float, merged: float) -> int:
     """How many lists are short, for a text of `size` n-grams."""
-    return min(size, size - int(np.ceil(share * size - 1e-9)) + merged)
+    return min(size, size - int(np.ceil(share * size - 1e-9)) + int(_times(size, merged)))
 
 
-def postings(reps: DataFrame, table, share: float, least_words: int, n: int, merged: int) -> DataFrame:
-    """(gram, id, size, place): each text in each of its short lists; `place` counts its lists from the shortest."""
+def postings(reps: DataFrame, table, share: float, least_words: int, n: int, merged: float) -> DataFrame:
+    """(gram, id, size, place): each text in each of its short lists; `place` counts its lists from the shortest.
+    40 bits of the n-gram's hash name the list: lists that fall together only bring candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, freq = _Hashes(), table.value
@@ -125,17 +132,18 @@ def postings(reps: DataFrame, table, share: float, least_words: int, n: int, mer
                     gs.append(short)
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                        [pa.array((np.concatenate(gs) >> np.uint64(24)).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
                         names=["gram", "id", "size", "place"])
 
     return reps.select("id", "text").mapInArrow(run, "gram bigint, id bigint, size int, place int")
 
 
-def merge(lists: DataFrame, share: float, merged: int, tasks: int) -> DataFrame:
+def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFrame:
     """(a, b), a < b: texts that occur often enough in each other's short lists.
 
     Every task merges the lists of its share of the n-grams; occurrences are added up over the tasks. Left out on the
-    way are pairs whose sizes alone, or whose places in the list at hand, rule out the overlap.
+    way are pairs whose sizes alone rule out the overlap, or whose places in the list at hand: what is left of the
+    shorter side and what lies before the place together bound it.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -154,24 +162,25 @@ def merge(lists: DataFrame, share: float, merged: int, tasks: int) -> DataFrame:
         count: list[np.ndarray] = []
         for i, j in ranges(np.arange(len(gram)) + 1, stop):
             need = np.ceil(share / (1 + share) * (size[i] + size[j]) - 1e-9)
-            # this list, those after it, and up to merged - 1 before it
-            ok = np.minimum(size[i] - place[i], size[j] - place[j]) + merged - 1 >= need
-            i, j = i[ok], j[ok]
-            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
+            times = _times(np.minimum(size[i], size[j]), merged)
+            # this list, those after it, and up to times - 1 before it that are shared too
+            ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need
+            i, j, times = i[ok], j[ok], times[ok]
+            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), times], axis=1)
             if len(pair):
-                pair, times = _unique(pair)
+                pair, met = _unique(pair)
                 seen.append(pair)
-                count.append(times)
-        pair = np.concatenate(seen) if seen else np.zeros((0, 2), np.int64)
-        times = np.concatenate(count) if count else np.zeros(0, np.int64)
-        return pa.table({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "n": times})
+                count.append(met)
+        pair = np.concatenate(seen) if seen else np.zeros((0, 3), np.int64)
+        met = np.concatenate(count) if count else np.zeros(0, np.int64)
+        return pa.table({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "times": np.ascontiguousarray(pair[:, 2]), "met": met})
 
-    found = lists.groupBy(F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("part")).applyInArrow(run, "a bigint, b bigint, n bigint")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= merged).select("a", "b")
+    found = lists.groupBy(F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("part")).applyInArrow(run, "a bigint, b bigint, times bigint, met bigint")
+    return found.groupBy("a", "b", "times").agg(F.sum("met").alias("met")).where(F.col("met") >= F.col("times")).select("a", "b")
 
 
 def _unique(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    order = np.lexsort(pair.T[::-1])
     pair = pair[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(pair, axis=0) != 0).any(axis=1)]))
     return pair[first], np.diff(np.concatenate([first, [len(pair)]]))
@@ -209,16 +218,16 @@ def verify(pairs: DataFrame, reps: DataFrame, share: float, least_words: int, n:
 
 
 def similar(df: DataFrame, key: str = "id", text: str = "content", share: float = SHARE, least_words: int = WORDS, n: int = GRAM,
-            cells: int = CELLS, merged: int = MERGED) -> DataFrame:
+            cells: int = CELLS, merged: float = MERGED) -> DataFrame:
     """(a, b, share), a < b: representatives whose texts share at least `share` of their word n-grams.
 
     Lower case, words parted by spaces, tabs, CR and LF. Texts with fewer than `least_words` words, null and empty
     ones take no part; equal texts are one representative, see members().
     """
-    reps = cut_lineage(representatives(df.where(F.length(text) >= 2 * least_words - 1), key, text).select("id", "text"))
+    reps = stored(representatives(df.where(F.length(text) >= 2 * least_words - 1), key, text).select("id", "text"))
     table = frequencies(reps, least_words, n, cells)
     lists = postings(reps, reps.sparkSession.sparkContext.broadcast(table), share, least_words, n, merged)
-    tasks = max(1, int(table.astype(np.int64).sum() * (1 - share) / POSTINGS) + 1) * 4
+    tasks = 8 * (int(table.astype(np.int64).sum() * (1 - share + merged) / POSTINGS) // 8 + 1)
     return verify(merge(lists, share, merged, tasks), reps, share, least_words, n)
 
 
