@@ -28,9 +28,9 @@ from dowser.session import cut_lineage, stored
 SHARE, WORDS, GRAM = 0.6, 30, 3
 CELLS = 1 << 17
 #: The share of a text's lists by which the merged lists are more than the least number that must be met.
-MERGED = 0.1
+MERGED = 0.05
 #: Postings of one task of the merge, about.
-POSTINGS = 1_000_000
+POSTINGS = 250_000
 
 _words = re.compile("[^ \t\r\n]+").findall
 
@@ -104,7 +104,7 @@ def _ordered(g: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _times(size, merged: float):
     """How often a text must be met in the short lists of one of `size` n-grams."""
-    return np.maximum(1, np.floor(size * merged)).astype(np.int64)
+    return np.maximum(2, np.floor(size * merged)).astype(np.int64)
 
 
 def _prefix(size: int, share: float, merged: float) -> int:
@@ -142,8 +142,8 @@ def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFram
     """(a, b), a < b: texts that occur often enough in each other's short lists.
 
     Every task merges the lists of its share of the n-grams; occurrences are added up over the tasks. Left out on the
-    way are pairs whose sizes alone rule out the overlap, or whose places in the list at hand: what is left of the
-    shorter side and what lies before the place together bound it.
+    way are pairs whose sizes alone rule out the overlap, and meetings whose places do: for the smaller of two texts
+    only the rarest quarter of its lists are short, as the overlap must be larger against the larger text.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -162,9 +162,10 @@ def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFram
         count: list[np.ndarray] = []
         for i, j in ranges(np.arange(len(gram)) + 1, stop):
             need = np.ceil(share / (1 + share) * (size[i] + size[j]) - 1e-9)
-            times = _times(np.minimum(size[i], size[j]), merged)
-            # this list, those after it, and up to times - 1 before it that are shared too
-            ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need
+            times = np.minimum(_times(np.minimum(size[i], size[j]), merged), need).astype(np.int64)
+            # the first `times` lists that the two share have at least need - times shared ones after them
+            ok = (np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need) & (
+                np.maximum(place[i] - size[i], place[j] - size[j]) < times - need)
             i, j, times = i[ok], j[ok], times[ok]
             pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), times], axis=1)
             if len(pair):
@@ -228,7 +229,7 @@ def similar(df: DataFrame, key: str = "id", text: str = "content", share: float
     table = frequencies(reps, least_words, n, cells)
     lists = postings(reps, reps.sparkSession.sparkContext.broadcast(table), share, least_words, n, merged)
     tasks = 8 * (int(table.astype(np.int64).sum() * (1 - share + merged) / POSTINGS) // 8 + 1)
-    return verify(merge(lists, share, merged, tasks), reps, share, least_words, n)
+    return verify(cut_lineage(merge(lists, share, merged, tasks)), reps, share, least_words, n)
 
 
 def enough_words(df: DataFrame, key: str, text: str, least_words: int = WORDS) -> DataFrame:

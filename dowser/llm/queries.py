@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.llm import near_duplicates, neighbours, packing, quality, splitting, tokenizer
+from dowser.llm import language, near_duplicates, neighbours, packing, quality, splitting, tokenizer
 from dowser.tables import table
 
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
@@ -40,6 +40,31 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "file_info"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_table, row_id, language, confidence, mixed, other, label): every document, and every file under a root set
+    to English, with the label it comes with."""
+    docs, files = table(spark, sf_dir, "documents"), table(spark, sf_dir, "file_info")
+    model = language.fit_on(docs)
+    english = table(spark, sf_dir, "indexer_setting").where("lower(trim(coalesce(file_content_language, ''))) <> 'multilingual'")
+    one = language.documents(docs.withColumn("label", language.named(F.col("lang"))), model, "doc_id", "text", ["label"]).withColumnRenamed("doc_id", "row_id")
+    two = language.documents(language.under_roots(files, english).withColumn("label", F.lit("en")), model, "id", "content", ["label"]).withColumnRenamed("id", "row_id")
+    return one.select(F.lit("documents").alias("src_table"), "*").unionByName(two.select(F.lit("file_info").alias("src_table"), "*"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).dropDuplicates(["src_table", "row_id"])
+
+
+def p6_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.stretches(docs, language.fit_on(docs), "doc_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir).where("language <> 'und' and (mixed or label is null or label <> language)")
+    return found.select("src_table", "row_id").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -64,7 +89,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
