@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.llm import language, near_duplicates, neighbours, packing, quality, splitting, tokenizer
+from dowser.llm import encoding, language, near_duplicates, neighbours, packing, quality, splitting, tokenizer
 from dowser.tables import table
 
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
@@ -40,6 +40,23 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "file_info"))
 
 
+def _garbled(spark: SparkSession, sf_dir: str, restored: bool) -> DataFrame:
+    frames = [(table(spark, sf_dir, name), "id", text) for name, text in TEXTS]
+    model = encoding.fit_on(frames)
+    found = [encoding.find(df, model, key, text, restored).select(F.lit(name).alias("src_table"), F.col(key).alias("row_id"), "*").drop(key)
+             for (df, key, text), (name, _) in zip(frames, TEXTS, strict=True)]
+    return found[0].unionByName(found[1])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir, False).select("src_table", "row_id").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain and the restored text of every garbled row; `whole`: nothing was lost."""
+    return _garbled(spark, sf_dir, True).dropDuplicates(["src_table", "row_id"])
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_table, row_id, language, confidence, mixed, other, label): every document, and every file under a root set
     to English, with the label it comes with."""
@@ -89,7 +106,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
