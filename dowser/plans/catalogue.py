@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dowser.plans import references
+from dowser.plans import index, references
 
-FLAGSHIP = "p1_found"
-MODULES = (references,)
+FLAGSHIP = "semantic_search"
+MODULES = (index, references)
 
 
 def queries() -> dict:
