@@ -61,7 +61,9 @@ def debounced(stream: DataFrame, gap: str = GAP, watermark: str = WATERMARK) ->
     taken when the session closes. Later events than the watermark allows are dropped."""
     live = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = F.collect_list(F.struct("event_id", "ts", "kind", "path", "to_path", "is_file"))
-    return live.groupBy(F.session_window("ts", gap).alias("w")).agg(rows.alias("events")).select(F.col("w.start").alias("session_start"), "events")
+    # a stream's session window must have a key beside it, so all events get the same one
+    live = live.withColumn("watcher", F.coalesce(F.col("event_id") * 0, F.lit(0)))
+    return live.groupBy("watcher", F.session_window("ts", gap).alias("w")).agg(rows.alias("events")).select(F.col("w.start").alias("session_start"), "events")
 
 
 def flush(batch: DataFrame) -> DataFrame:
