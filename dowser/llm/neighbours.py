@@ -9,7 +9,8 @@ code within a Hamming radius of twice the number of substrings less one, and mos
 A substring's index is cut into blocks by its leading bits, so that a block holds about `block_rows` vectors however
 many there are. A vector is sent to its own block of every substring and, for probes that change a leading bit from 0
 to 1, to that neighbouring block. Exact copies are collapsed first to one representative with its k + 1 smallest ids,
-which is all that a list of k neighbours can need; hot copies are cut to these before they are shuffled.
+which is all that a list of k neighbours can need; hot copies are cut to these before they are shuffled. A block that
+holds far more than its share, since many vectors are alike, is cut into chunks, and every two chunks meet in a task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dowser.session import cut_lineage
+
 WORDS, SUB_BITS = 2, 20
 HAMMING = 28
 SAMPLE = 4000
@@ -159,26 +162,32 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         at += upto
 
 
-def block_pairs(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, block: int, sub_bits: int, lead_bits: int, hamming: int):
-    """Pairs of ids in a block whose substrings differ in one bit at most and whose codes in `hamming` at most."""
+def block_pairs(ids: np.ndarray, words: list[np.ndarray], home: np.ndarray, block: int, sub_bits: int, lead_bits: int, hamming: int, chunk: np.ndarray | None = None):
+    """Pairs of ids in a block whose substrings differ in one bit at most and whose codes in `hamming` at most;
+    with `chunk`, only those of two chunks."""
     per, low = 64 // sub_bits, sub_bits - lead_bits
     j = block >> lead_bits
     sub = ((words[j // per] >> np.uint64(j % per * sub_bits)) & np.uint64((1 << low) - 1)).astype(np.int64)
     order = np.argsort(sub[home], kind="stable")
     at_home = np.flatnonzero(home)[order]
     hsub, hid, hw = sub[at_home], ids[at_home], [w[at_home] for w in words]
+    part = np.zeros(len(ids), np.int32) if chunk is None else chunk
+    hpart = part[at_home]
     start = np.concatenate([[0], np.cumsum(np.bincount(hsub, minlength=1 << low))])
-    probes = [(hid, hw, np.arange(len(hsub)) + 1, start[hsub + 1])]
+    probes = [(hid, hw, hpart, np.arange(len(hsub)) + 1, start[hsub + 1])]
     for bit in range(low):
         zero = np.flatnonzero(hsub >> bit & 1 == 0)
         to = hsub[zero] | 1 << bit
-        probes.append((hid[zero], [w[zero] for w in hw], start[to], start[to + 1]))
+        probes.append((hid[zero], [w[zero] for w in hw], hpart[zero], start[to], start[to + 1]))
     guests = np.flatnonzero(~home)
     if len(guests):
         to = sub[guests]
-        probes.append((ids[guests], [w[guests] for w in words], start[to], start[to + 1]))
-    for pid, pw, lo, hi in probes:
+        probes.append((ids[guests], [w[guests] for w in words], part[guests], start[to], start[to + 1]))
+    for pid, pw, ppart, lo, hi in probes:
         for a, b in ranges(lo, hi):
+            if chunk is not None:
+                apart = ppart[a] != hpart[b]
+                a, b = a[apart], b[apart]
             apart = np.bitwise_count(pw[0][a] ^ hw[0][b]).astype(np.int16)
             for w in range(1, len(words)):
                 apart += np.bitwise_count(pw[w][a] ^ hw[w][b])
@@ -194,16 +203,25 @@ def candidates(reps: DataFrame, words: int = WORDS, sub_bits: int = SUB_BITS, ha
     rows = reps.count() if rows is None else rows
     lead_bits = min(sub_bits - 4, max(0, math.ceil(math.log2(max(1, rows) / block_rows))))
 
+    sent = spread(reps, words, sub_bits, lead_bits)
+    # one number a block goes to the driver; there are about 1 / block_rows as many as vectors
+    hot = {r["block"]: math.ceil(r["count"] / (2 * block_rows)) for r in sent.groupBy("block").count().where(F.col("count") > 4 * block_rows).collect()}
+
     def run(group: pa.Table) -> pa.Table:
         ids, block = group.column("id").to_numpy(), group.column("block")[0].as_py()
         c = [group.column(f"c{w}").to_numpy().view(np.uint64) for w in range(words)]
-        home = group.column("home").to_numpy()
-        out = list(block_pairs(ids, c, home, block, sub_bits, lead_bits, hamming))
+        chunk = group.column("chunk").to_numpy()
+        across = group.column("first")[0].as_py() != group.column("second")[0].as_py()
+        out = list(block_pairs(ids, c, group.column("home").to_numpy(), block, sub_bits, lead_bits, hamming, chunk if across else None))
         a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in out]) if out else np.zeros(0, np.int64)
         return pa.table({"a": a, "b": b})
 
-    return spread(reps, words, sub_bits, lead_bits).groupBy("block").applyInArrow(run, "a bigint, b bigint").distinct()
+    chunks = F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("block")) if hot else F.lit(None).cast("int")
+    sent = sent.withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sent = sent.select("block", "home", "id", *(f"c{w}" for w in range(words)), "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
+    return sent.groupBy("block", "first", "second").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def distances(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -231,9 +249,9 @@ def near(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 6
     smallest as neighbours and are nobody's, so they are left out here: `copies` gives their membership.
     """
     hasher = Hasher.fit(df, key, vector, dim, sample, words)
-    reps = collapsed(hashed(df, key, vector, hasher), words, k)
+    reps = cut_lineage(collapsed(hashed(df, key, vector, hasher), words, k))
     # a group of more than k copies has no place for others in its lists, but may be in the lists of others
-    found = candidates(reps, words, sub_bits, hamming, df.count(), block_rows)
+    found = cut_lineage(candidates(reps, words, sub_bits, hamming, reps.count(), block_rows))
     vectors = df.where(F.size(vector) == dim).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
     close = distances(found, vectors, dim).where(F.col("distance") <= within)
     lead = reps.select("id", "lead")

@@ -19,7 +19,7 @@ def brute(rows, k=5, within=0.05):
     return {(i, j) for i in ids for j in lists[i] if i < j and i in lists[j]}
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 40])
+@pytest.mark.parametrize("block_rows", [1_000_000, 40, 3])
 def test_neighbours_against_brute_force(spark, block_rows):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((60, 16))
