@@ -207,3 +207,47 @@ def cosine_distance(vector: Column | str, query: Sequence[float]) -> Column:
         dot = F.aggregate(F.zip_with(v, literal, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
         square = F.aggregate(v, F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
     return F.when((F.size(v) == len(q)) & (square > 0) & F.lit(size > 0), F.round(1 - F.try_divide(dot, F.sqrt(square) * F.lit(size)), 6))
+
+
+# --- media, dates, secrets ----------------------------------------------------------------------------------------
+
+# The first bytes (hexadecimal) of media files, with what follows at byte 8 where the first are shared.
+MAGIC = (("89504E470D0A1A0A", "", "png"), ("FFD8FF", "", "jpg"), ("47494638", "", "gif"), ("52494646", "57454250", "webp"), ("52494646", "57415645", "wav"),
+         ("494433", "", "mp3"), ("FFFB", "", "mp3"), ("664C6143", "", "flac"), ("4F676753", "", "ogg"), ("FFF1", "", "aac"), ("FFF9", "", "aac"), ("2321414D52", "", "amr"))
+
+
+def media_kind(content: Column | str) -> Column:
+    """The extension that a file's first bytes tell, or null."""
+    head = F.hex(F.substring(_col(content), 1, 16))
+    out = F.when(F.substring(head, 9, 8) == "66747970", F.when(F.substring(head, 17, 6) == "4D3441", "m4a").otherwise("mp4"))
+    for first, ninth, kind in MAGIC:
+        hit = head.startswith(first)
+        out = out.when(hit & (F.substring(head, 17, 8) == ninth) if ninth else hit, kind)
+    return out
+
+
+def media_uri(content: Column | str, exts: Sequence[str]) -> Column:
+    """A data URI of media whose first bytes are of one of the kinds; null of anything else."""
+    kind = media_kind(content)
+    return F.when(kind.isin(*exts), data_uri(content, kind))
+
+
+SECONDS, FRACTIONS = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSSSSS"
+
+
+def parse_time(text: Column | str, pattern: str = SECONDS) -> Column:
+    """'' is the epoch; what does not parse is null."""
+    return F.when(_col(text) == "", F.lit("1970-01-01").cast("timestamp_ntz")).otherwise(F.try_to_timestamp(_col(text), F.lit(pattern)).cast("timestamp_ntz"))
+
+
+def format_time(time: Column | str, pattern: str = SECONDS) -> Column:
+    return F.date_format(_col(time), pattern)
+
+
+def encrypt(text: Column | str, key: str, iv: str) -> Column:
+    """AES-128 in CBC mode with PKCS padding; 16 bytes of key and of vector. The vector is not part of the result."""
+    return F.substring(F.aes_encrypt(_col(text).cast("binary"), F.lit(key).cast("binary"), F.lit("CBC"), F.lit("PKCS"), F.lit(iv).cast("binary")), 17, 1 << 30)
+
+
+def decrypt(data: Column | str, key: str, iv: str) -> Column:
+    return F.aes_decrypt(F.concat(F.lit(iv).cast("binary"), _col(data)), F.lit(key).cast("binary"), F.lit("CBC"), F.lit("PKCS")).cast("string")

@@ -156,3 +156,16 @@ def apply_upsert(scan: DataFrame, files: DataFrame, requeue: bool = True) -> Dat
 
 def insert_or_ignore(config: DataFrame, rows: DataFrame, key: str = "name") -> DataFrame:
     return append(config, rows.dropDuplicates([key]).join(config.select(key), key, "left_anti"))
+
+
+def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Some of the columns, by name; none or an unknown one is an error."""
+    unknown = [n for n in names if n not in df.columns]
+    if not names or unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    return df.select(*names)
+
+
+def stale(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files whose path is not listed any more."""
+    return files.join(listed.select("path").distinct(), "path", "left_anti")

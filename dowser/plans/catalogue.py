@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dowser.plans import index, references
+from dowser.plans import index, references, upkeep
 
 FLAGSHIP = "semantic_search"
-MODULES = (index, references)
+MODULES = (index, references, upkeep)
 
 
 def queries() -> dict:
