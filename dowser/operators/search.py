@@ -17,11 +17,14 @@ PATH_WEIGHT, SEMANTIC_WEIGHT = 0.6, 0.4
 def knn(vectors: DataFrame, query: Sequence[float], k: int = K, most: float | None = CUT_OFF, vector: str = "embedding") -> DataFrame:
     """(file_id, id, distance): the k nearest of all rows, then those within `most` (None or negative: all of them).
 
-    Each id counts once. A scan keeps only its own k nearest, so k rows a task are all that is ever moved; ids that
-    come twice are taken out of a list long enough to hold k others.
+    Each id counts once. Every task keeps its own k nearest ids (and their repeats), so these are all that is moved:
+    the nearest k of all are among them.
     """
-    near = vectors.select("file_id", "id", X.cosine_distance(vector, query).alias("distance")).where("distance is not null")
-    one = near.dropDuplicates(["id"]).orderBy("distance", "id").limit(k)
+    # rows without a distance rank last and go only then: a filter before would compute every distance twice
+    near = vectors.select("file_id", "id", X.cosine_distance(vector, query).alias("distance"), F.spark_partition_id().alias("_task"))
+    own = Window.partitionBy("_task").orderBy(F.asc_nulls_last("distance"), "id")
+    local = near.withColumn("_rank", F.dense_rank().over(own)).where(F.col("_rank") <= k).drop("_task", "_rank")
+    one = local.where("distance is not null").dropDuplicates(["id"]).orderBy("distance", "id").limit(k)
     return one if most is None or most < 0 else one.where(F.col("distance") <= most)
 
 
@@ -34,9 +37,12 @@ def merge_hits(content: DataFrame, meta: DataFrame) -> DataFrame:
 
 def semantic_search(content: DataFrame, meta: DataFrame, files: DataFrame, query: Sequence[float], k: int = K, most: float = CUT_OFF) -> DataFrame:
     """(score, source, file_id, path, matched_chunk_ids): files by least distance; hits whose file is missing are dropped.
-    The hits are 2k rows at most, so the join broadcasts them."""
+    The hits are 2k rows at most, so they are broadcast to the files as they are scanned; of several versions of a
+    file the latest counts."""
     merged = merge_hits(knn(content, query, k, most), knn(meta, query, k, most))
-    found = files.select(F.col("id").alias("file_id"), "path").join(F.broadcast(merged), "file_id")
+    rows = files.select(F.col("id").alias("file_id"), "path", "update_time").join(F.broadcast(merged), "file_id")
+    latest = F.max_by(F.struct("path", "distance", "matched_chunk_ids"), "update_time").alias("f")
+    found = rows.groupBy("file_id").agg(latest).select("file_id", "f.*")
     return found.select(F.col("distance").alias("score"), F.lit("semantic").alias("source"), "file_id", "path", "matched_chunk_ids").orderBy("score", "file_id")
 
 

@@ -110,7 +110,7 @@ _SEMANTIC = f", {_QUERY}, {_KNN.format(k=_K)}, {_MERGE.format(cut=_CUT)}, sem as
 
 @query("semantic_search", _with("emf", f"{_SEMANTIC} select * from sem"))
 def semantic_search(spark, d):
-    return search.semantic_search(_vectors(spark, d, "file_content_embedding"), _vectors(spark, d, "file_metadata_embedding"), files(spark, d, "path"), query_vector(spark, d), _K, _CUT)
+    return search.semantic_search(_vectors(spark, d, "file_content_embedding"), _vectors(spark, d, "file_metadata_embedding"), table(spark, d, "file_info"), query_vector(spark, d), _K, _CUT)
 
 
 _LINES = "lines as (select row_number() over (order by id) - 1 as line_num, id as file_id, path from f where coalesce(path, '') <> '')"
