@@ -36,23 +36,25 @@ def strongest(events: DataFrame, *by: str) -> DataFrame:
     return events.groupBy(*by, "path").agg(best.alias("e"), F.count(F.lit(1)).alias("events")).select(*by, "path", "e.*", "events")
 
 
-def sessions(events: DataFrame, gap: str = GAP) -> DataFrame:
-    """(session_start, path, event_id, ts, kind, to_path, is_file, events): a session ends when no event at all, of any
-    path, came for `gap`.
+def session_starts(events: DataFrame, span: F.Column, *by: str, inclusive: bool = True) -> DataFrame:
+    """(by..., ts, session_start) of every distinct time: a session ends when no event came for `span` (or longer than
+    it). No window holds more than one hour of a group: times are put in order within their hours, and one row an hour
+    carries the edges over."""
+    times = events.where(F.col("ts").isNotNull()).select(*by, "ts").distinct().withColumn("h", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    in_hour, hours = Window.partitionBy(*by, "h").orderBy("ts"), Window.partitionBy(*by).orderBy("h")
+    prior = times.groupBy(*by, "h").agg(F.max("ts").alias("last")).select(*by, "h", F.lag("last").over(hours).alias("last_before"))
+    edged = times.withColumn("before", F.lag("ts").over(in_hour)).join(prior, [*by, "h"]).withColumn("before", F.coalesce("before", "last_before"))
+    apart = F.col("ts") >= F.col("before") + span if inclusive else F.col("ts") > F.col("before") + span
+    begun = edged.withColumn("start", F.when(F.col("before").isNull() | apart, F.col("ts"))).select(*by, "ts", "h", "start")
+    carried = begun.groupBy(*by, "h").agg(F.max("start").alias("last")).select(
+        *by, "h", F.last("last", True).over(hours.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return begun.withColumn("own", F.last("start", True).over(in_hour)).join(carried, [*by, "h"]).select(*by, "ts", F.coalesce("own", "carried").alias("session_start"))
 
-    A batch twin of debounced(). Sessions are global, but no window holds more than one hour: distinct times are put in
-    order within their hours, and one row an hour carries the edges over.
-    """
-    span = F.expr(f"interval {gap}")
-    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
-    times = events.where(F.col("ts").isNotNull()).select("ts").distinct().withColumn("h", hour(F.col("ts")))
-    in_hour, hours = Window.partitionBy("h").orderBy("ts"), Window.orderBy("h")
-    prior = times.groupBy("h").agg(F.max("ts").alias("last")).select("h", F.lag("last").over(hours).alias("last_before"))
-    edged = times.withColumn("before", F.lag("ts").over(in_hour)).join(prior, "h").withColumn("before", F.coalesce("before", "last_before"))
-    begun = edged.withColumn("start", F.when(F.col("before").isNull() | (F.col("ts") >= F.col("before") + span), F.col("ts"))).select("ts", "h", "start")
-    carried = begun.groupBy("h").agg(F.max("start").alias("last")).select(
-        "h", F.last("last", True).over(hours.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    placed = begun.withColumn("own", F.last("start", True).over(in_hour)).join(carried, "h").select("ts", F.coalesce("own", "carried").alias("session_start"))
+
+def sessions(events: DataFrame, gap: str = GAP) -> DataFrame:
+    """(session_start, path, event_id, ts, kind, to_path, is_file, events): the strongest event of each path in each
+    session; a session ends when no event at all, of any path, came for `gap`. A batch twin of debounced()."""
+    placed = session_starts(events, F.expr(f"interval {gap}"))
     return strongest(normalised(events).join(placed, "ts"), "session_start")
 
 
@@ -98,14 +100,24 @@ PAIRED = "event_id bigint, ts timestamp_ntz, kind string, path string, to_path s
 
 
 def paired(events: DataFrame, source: str, window: float = RENAME_WINDOW) -> DataFrame:
-    """pair_renames over every source's events (a watched root): halves of one rename come from one source."""
+    """pair_renames over every source's events (a watched root): halves of one rename come from one source.
+
+    Nothing waits longer than the window, so a source's events are independent where they lie further apart, and each
+    such stretch is a group of its own: a busy source is many small groups. Null sources and times pair with nothing
+    and come out as they are.
+    """
+    span = F.expr(f"interval {round(window * 1e6)} microseconds")
+    known = events.where(F.col(source).isNotNull() & F.col("ts").isNotNull())
+    placed = session_starts(known, span, source, inclusive=False)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, waiting = pair_renames(pdf, window)
         rest = pd.DataFrame([(n, at, "remove", path, None) for at, path, n in waiting], columns=out.columns)
         return pd.concat([out, rest]) if len(rest) else out
 
-    return events.groupBy(source).applyInPandas(run, PAIRED)
+    names = ["event_id", "ts", "kind", "path", "to_path"]
+    found = known.join(placed, [source, "ts"]).select(*names, source, "session_start").groupBy(source, "session_start").applyInPandas(run, PAIRED)
+    return found.unionByName(events.where(F.col(source).isNull() | F.col("ts").isNull()).select(*names))
 
 
 def paired_stream(stream: DataFrame, source: str, window: float = RENAME_WINDOW) -> DataFrame:

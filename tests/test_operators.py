@@ -214,6 +214,20 @@ def test_rename_pairing():
     assert [p for _, p, _ in waiting] == ["/w"]
 
 
+def test_rename_pairing_in_stretches(spark):
+    rng = np.random.default_rng(3)
+    rows, t = [], 0.0
+    for i in range(400):
+        t += float(rng.choice([0.0, 0.05, 0.2, 0.3, 0.31, 5, 4000], p=[0.1, 0.3, 0.3, 0.1, 0.1, 0.08, 0.02]))
+        rows.append((i, T0 + timedelta(seconds=round(t, 3)), str(rng.choice(["rename_from", "rename_to", "modify"])), f"/p{i}", None))
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "kind", "path", "to_path"])
+    out, waiting = EV.pair_renames(pdf)
+    want = sorted([(r.kind, r.path, r.to_path) for r in out.itertuples()] + [("remove", p, None) for _, p, _ in waiting], key=str)
+    df = spark.createDataFrame(rows, EV.PAIRED).withColumn("source", F.lit("root"))
+    assert sorted(((r.kind, r.path, r.to_path) for r in EV.paired(df, "source").collect()), key=str) == want
+    assert EV.paired(df.limit(0), "source").collect() == []
+
+
 def test_engine_end_to_end(spark, tmp_path):
     root = tmp_path / "docs"
     (root / ".hidden").mkdir(parents=True)
