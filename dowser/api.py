@@ -19,6 +19,7 @@ from dowser.functions import exprs as X
 from dowser.operators import pipeline, search, tasks
 from dowser.operators import relational as R
 from dowser.sources import extract, files
+from dowser.streaming import events as EV
 
 TASK = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("paths", T.StringType()), T.StructField("embedding_model", T.StringType()), T.StructField("status", T.StringType()),
@@ -153,22 +154,15 @@ class Engine:
     # --- changes
 
     def apply_events(self, events: DataFrame) -> None:
-        """One flush of file events, as flush() gives them: removals, then renames, then files to index."""
-        rows = events.select("path", "kind", "to_path", "is_file").collect()  # one flush: what changed within seconds
-        three = self._three()
-        for r in (r for r in rows if r.kind == "remove"):
-            f, c, m = three
-            if r.is_file:
-                gone = f.where(F.col("path") == r.path).select(F.col("id").alias("file_id"))
-                three = (f.where(F.col("path") != r.path), c.join(gone, "file_id", "left_anti"), m.join(gone, "file_id", "left_anti"))
-            else:
-                three = R.remove_directory(f, c, m, r.path, self.separator)
-        for r in (r for r in rows if r.kind == "rename" and r.to_path):
-            moved = R.rename_file(three[0], r.path, r.to_path) if r.is_file else R.reroot(three[0], r.path, r.to_path, self.separator)
-            three = (moved, three[1], three[2])
-        self._put(three)
-        again = [r.path for r in rows if r.kind in ("create", "modify") and r.is_file is not False]
+        """One flush of file events, as flush() gives them: removals, then renames, then files to index. Only the paths
+        of created and modified files go to the driver, which hands them to the scan."""
+        three = R.apply_removals(*self._three(), events.where("kind = 'remove'"))
+        self._put((R.apply_renames(three[0], events.where("kind = 'rename'")), three[1], three[2]))
+        again = [r.path for r in events.where("kind in ('create', 'modify') and coalesce(is_file, true)").select("path").distinct().collect()]
         if again:
             self.index(again)
 
-
+    def watch(self, folder: str, checkpoint: str, gap: str = EV.GAP):
+        """Maintains the index by a folder of event files: debounced sessions, applied one after the other."""
+        stream = EV.debounced(files.event_log(self.spark, folder, S.FILE_EVENT).drop("arrive_time"), gap)
+        return stream.writeStream.foreachBatch(lambda batch, _: self.apply_events(EV.flush(batch))).option("checkpointLocation", checkpoint).start()

@@ -57,6 +57,13 @@ def ensure_separator(path: Column | str, separator: str = "/") -> Column:
     return F.when(p.endswith(separator), p).otherwise(F.concat(p, F.lit(separator)))
 
 
+def ancestors(path: Column | str) -> Column:
+    """Every directory above the path, without its separator, the shortest first; either separator counts."""
+    p = _col(path)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: F.substring(p, i, F.lit(1)).isin("/", "\\"))
+    return F.transform(places, lambda i: F.substring(p, F.lit(1), i - 1))
+
+
 def ascii_lower(c: Column | str) -> Column:
     return F.translate(_col(c), UPPER, LOWER)
 

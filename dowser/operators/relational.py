@@ -169,3 +169,31 @@ def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def stale(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files whose path is not listed any more."""
     return files.join(listed.select("path").distinct(), "path", "left_anti")
+
+
+def below(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """(id, directory) of each file below one of the directories(path), with the deepest of them. An equi-join on the
+    files' ancestors; unlike a prefix predicate it is literal and case-sensitive."""
+    up = files.where(F.length("path") > 0).select("id", F.explode(X.ancestors("path")).alias("directory"))
+    hit = up.join(directories.select(F.col("path").alias("directory")).distinct(), "directory")
+    return hit.groupBy("id").agg(F.max_by("directory", F.length("directory")).alias("directory"))
+
+
+def apply_removals(files: DataFrame, content: DataFrame, meta: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the removed(path, is_file) files, and without all that is below removed directories."""
+    same = files.join(removed.select("path").distinct(), "path", "left_semi").select("id")
+    gone = same.unionByName(below(files, removed.where(~F.coalesce("is_file", F.lit(True)))).select("id")).distinct()
+    owner = gone.select(F.col("id").alias("file_id"))
+    return (files.join(gone, "id", "left_anti").select(*files.columns), *(t.join(owner, "file_id", "left_anti").select(*t.columns) for t in (content, meta)))
+
+
+def apply_renames(files: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Files with the renamed(path, to_path) applied: to the file itself, or else to what is below a directory, in whose
+    paths every occurrence of the old one is replaced."""
+    to = renamed.where(F.col("to_path").isNotNull()).groupBy("path").agg(F.min("to_path").alias("to_path"))
+    own = files.join(to.withColumnRenamed("to_path", "_own"), "path", "left")
+    moved = below(files, to).join(to.select(F.col("path").alias("directory"), F.col("to_path").alias("_to")), "directory").select("id", F.col("directory").alias("_from"), "_to")
+    both = own.join(moved, "id", "left")
+    path = F.coalesce("_own", F.when(F.col("_from").isNotNull(), F.replace(F.col("path"), F.col("_from"), F.col("_to"))), "path")
+    return both.withColumn("_new", path).select(*(F.col("_new").alias("path") if c == "path" else F.when(F.col("_own").isNotNull(), X.file_name("_own")).otherwise(F.col("name")).alias("name")
+                                                  if c == "name" else F.col(c) for c in files.columns))

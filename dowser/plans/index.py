@@ -281,8 +281,7 @@ def kept_content(spark, d):
     if settings.limit(10_001).count() > 10_000:
         raise ValueError("too many roots to broadcast")
     f = files(spark, d, "path", "category", "content")
-    places = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.lit(1)).isin("/", "\\"))
-    up = f.where("length(path) > 0").select("*", F.explode(F.transform(places, lambda i: F.substring(F.col("path"), F.lit(1), i - 1))).alias("root_path"))
+    up = f.where("length(path) > 0").select("*", F.explode(X.ancestors("path")).alias("root_path"))
     return up.join(F.broadcast(settings), "root_path").select("id", X.kept_content("content", "category", "save_parsed_content").alias("content"))
 
 

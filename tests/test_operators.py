@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dowser import schemas as S
 from dowser.api import Engine
 from dowser.functions import exprs as X
 from dowser.operators import pipeline, references, relational, search
@@ -115,6 +116,17 @@ def test_knn_ties_duplicates_and_bad_vectors(spark):
     assert search.knn(long, [1.0] * 200).first().distance == 0.0
 
 
+def test_removals_and_renames(spark):
+    f = spark.createDataFrame([(1, "/a/x.txt", "x.txt"), (2, "/a/b/y.txt", "y.txt"), (3, "/ab/z.txt", "z.txt"), (4, "/c/a/w.txt", "w.txt"), (5, None, None)], "id bigint, path string, name string")
+    e = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, None)], "id bigint, file_id bigint")
+    gone = spark.createDataFrame([("/a", False), ("/ab/z.txt", True), ("/none", None)], "path string, is_file boolean")
+    left = relational.apply_removals(f, e, e, gone)
+    assert [sorted(r[0] for r in t.collect()) for t in left] == [[4, 5], [13], [13]]
+    to = spark.createDataFrame([("/a", "/new"), ("/a/b", "/deep"), ("/ab/z.txt", "/ab/q.txt"), ("/c/a/w.txt", None)], "path string, to_path string")
+    got = {r.id: (r.path, r.name) for r in relational.apply_renames(f, to).collect()}
+    assert got == {1: ("/new/x.txt", "x.txt"), 2: ("/deep/y.txt", "y.txt"), 3: ("/ab/q.txt", "q.txt"), 4: ("/c/a/w.txt", "w.txt"), 5: (None, None)}
+
+
 def test_like_prefix_wildcards_and_case(spark):
     df = spark.createDataFrame([("/A_b/x",), ("/aXb/x",), ("/É/x",), ("C:\\d\\x",)], "path string")
     assert {r.path for r in df.where(X.under_directory("path", "/a_b")).collect()} == {"/A_b/x", "/aXb/x"}
@@ -252,3 +264,19 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.store.read("file_content_embedding").where(F.col("file_id") == note.id).count() == 0
     e.clear()
     assert e.files().count() == 0
+
+
+def test_engine_watches_events(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / "docs" / name).write_text(name)
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index([str(tmp_path / "docs")])
+    log = [(1, at(0), "remove", str(tmp_path / "docs" / "a.txt"), None, True, at(0)), (2, at(1), "other", None, None, None, at(1))]
+    spark.createDataFrame(log, S.FILE_EVENT).coalesce(1).write.parquet(str(tmp_path / "log"))
+    q = e.watch(str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [r.name for r in e.files().collect()] == ["b.txt"]
