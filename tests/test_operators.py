@@ -280,3 +280,19 @@ def test_engine_watches_events(spark, tmp_path):
     finally:
         q.stop()
     assert [r.name for r in e.files().collect()] == ["b.txt"]
+
+
+def test_rename_pairing_stream(spark, tmp_path):
+    rows = [(1, at(0), "rename_from", "/a", None, "r"), (2, at(0) + timedelta(milliseconds=100), "rename_to", "/b", None, "r"), (3, at(1), "rename_from", "/c", None, "r"),
+            (4, at(2), "modify", "/d", None, "r"), (5, at(2), "rename_from", "/e", None, "r")]
+    schema = EV.PAIRED + ", source string"
+    for k, part in enumerate((rows[:1], rows[1:])):  # the halves come in two batches
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = EV.paired_stream(stream, "source").writeStream.format("memory").queryName("paired").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.kind, r.path, r.to_path) for r in spark.table("paired").collect()}
+    assert got == {("rename", "/a", "/b"), ("remove", "/c", None), ("modify", "/d", None)}  # /e still waits
