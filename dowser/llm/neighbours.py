@@ -11,10 +11,14 @@ many there are. A vector is sent to its own block of every substring and, for pr
 to 1, to that neighbouring block. Exact copies are collapsed first to one representative with its k + 1 smallest ids,
 which is all that a list of k neighbours can need; hot copies are cut to these before they are shuffled. A block that
 holds far more than its share, since many vectors are alike, is cut into chunks, and every two chunks meet in a task.
+
+The index answers for near vectors only: beyond some distance, codes say too little. `nearest` gives the k nearest at
+any distance by an exact pass, in which every representative meets every block of the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +34,7 @@ WORDS, SUB_BITS = 2, 20
 HAMMING = 28
 SAMPLE = 4000
 BLOCK_ROWS = 250_000
+EXACT_ROWS = 200_000
 CHUNK = 1 << 19
 
 
@@ -246,7 +251,8 @@ def near(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 6
 
     Vectors that are null, of another length, all zero or not finite take no part; a key that comes twice counts
     once. Ties go to the smaller id. Of a group of exact copies, those beyond the k + 1 smallest ids have the k
-    smallest as neighbours and are nobody's, so they are left out here: `copies` gives their membership.
+    smallest as neighbours and are nobody's, so they are left out here: `copies` gives their membership. Neighbours
+    further than the index reaches are not found, whatever `within` is: `nearest` finds them.
     """
     hasher = Hasher.fit(df, key, vector, dim, sample, words)
     reps = cut_lineage(collapsed(hashed(df, key, vector, hasher), words, k))
@@ -266,6 +272,120 @@ def near(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 6
     return both.unionByName(within_group).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """(id, copy, v) of each row with a usable vector: a digest of the unit vector and the float32 bytes as they came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, unit = matrix(batch.column(1), dim)
+            if not len(rows):
+                continue
+            at = pa.array(rows)
+            x = batch.column(1).take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            offsets = np.arange(len(rows) + 1, dtype=np.int32) * (4 * dim)
+            v = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+            copy = pa.array([hashlib.md5(u).digest() for u in unit], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), copy, v], names=["id", "copy", "v"])
+
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, copy binary, v binary")
+
+
+def membership(rows: DataFrame, k: int) -> DataFrame:
+    """(id, representative, lead) of every id of usable(): the least id with the same vector, and, with the
+    representative itself only, the k + 1 least."""
+    own = rows.groupBy("id").agg(F.min("copy").alias("copy"))
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("_n") <= k + 1)
+    lead = first.groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("lead"))
+    return own.join(lead, "copy").select("id", F.col("lead")[0].alias("representative"), F.when(F.col("id") == F.col("lead")[0], F.col("lead")).alias("lead"))
+
+
+def copies(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64) -> DataFrame:
+    """(id, representative) of every row that has exact copies, the representative included."""
+    every = membership(usable(df, key, vector, dim), 1)
+    several = every.where(F.size("lead") > 1).select("representative")
+    return every.select("id", "representative").join(several, "representative", "left_semi").select("id", "representative")
+
+
+def block_nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, rows: int = 256, columns: int = 1 << 15):
+    """Yields (id, other, distance): of each of `ids` the k nearest of `others` besides itself, ties to the smaller
+    id. A float32 product leaves out what is surely too far; the rest is measured in float64."""
+    nx, ny = (np.linalg.norm(z.astype(np.float64), axis=1) for z in (x, y))
+    ux, uy = ((z / n[:, None]).astype(np.float32) for z, n in ((x, nx), (y, ny)))
+    for lo in range(0, len(ids), rows):
+        hi = min(lo + rows, len(ids))
+        bi, bj, bd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(hi - lo, -np.inf, np.float32)
+        at, wide = 0, min(columns, 1024)  # a small first tile sets the bound
+        while at < len(others):
+            s = ux[lo:hi] @ uy[at : at + wide].T
+            if at == 0 and s.shape[1] > 4 * (k + 1):
+                least = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] - np.float32(8e-6)
+            hit = np.flatnonzero(s >= least[:, None])
+            i, j = hit // s.shape[1], hit % s.shape[1] + at
+            d = np.empty(len(i))
+            for p in range(0, len(i), 1 << 16):
+                a, b = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
+                d[p : p + (1 << 16)] = 1 - (x[lo + a].astype(np.float64) * y[b].astype(np.float64)).sum(1) / (nx[lo + a] * ny[b])
+            away = ids[lo + i] != others[j]
+            bi, bj, bd = np.concatenate([bi, i[away]]), np.concatenate([bj, j[away]]), np.concatenate([bd, d[away]])
+            order = np.lexsort((others[bj], bd, bi))
+            bi, bj, bd = bi[order], bj[order], bd[order]
+            rank = np.arange(len(bi)) - np.searchsorted(bi, bi)
+            full = rank == k - 1
+            # eight millionths are more than float32 products of unit vectors can be wrong by
+            least[bi[full]] = (1 - bd[full]).astype(np.float32) - np.float32(8e-6)
+            bi, bj, bd = bi[rank < k], bj[rank < k], bd[rank < k]
+            at, wide = at + wide, columns
+        yield ids[lo + bi], others[bj], bd
+
+
+def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, block_rows: int = EXACT_ROWS) -> DataFrame:
+    """(id, neighbour, distance, rank): of every usable vector the k nearest others, at any distance. Exact.
+
+    The same rows take part as in near(), and ties go to the smaller id; here every copy has its list. Work grows with
+    the square of the number of different vectors; the driver and each task hold `block_rows` of them at a time.
+    """
+    spark = df.sparkSession
+    rows = usable(df, key, vector, dim)
+    members = cut_lineage(membership(rows, k))
+    reps = members.where(F.col("lead").isNotNull())
+    n = reps.count()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(n / block_rows))
+    own = rows.join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("copy", "v")).alias("r")).select("id", F.col("r.v").alias("v"))
+    own = cut_lineage(own.repartition(tasks, "id"))
+    blocks = math.ceil(n / block_rows)
+
+    def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+    lists = None
+    for b in range(blocks):
+        block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), unpacked(block.column(1))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            others, y = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    for i, j, d in block_nearest(batch.column(0).to_numpy(), unpacked(batch.column(1)), others, y, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], names=["representative", "other", "distance"])
+
+        part = cut_lineage(own.mapInArrow(run, "representative bigint, other bigint, distance double"))
+        sent.destroy()
+        lists = part if lists is None else lists.unionByName(part)
+    if lists is None:
+        return spark.createDataFrame([], "id bigint, neighbour bigint, distance double, rank int")
+    several = reps.where(F.size("lead") > 1).select(F.col("id").alias("other"), "lead")
+    between = lists.join(several, "other", "left").select("representative", F.explode(F.coalesce("lead", F.array("other"))).alias("neighbour"), "distance")
+    within_group = reps.select("representative", F.explode("lead").alias("neighbour"), F.lit(0.0).alias("distance"))
+    # at most (blocks * k + 1) * (k + 1) entries a representative
+    best = between.unionByName(within_group).groupBy("representative").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k + 1).alias("best"))
+    each = members.select("id", "representative").join(best, "representative")
+    others = F.slice(F.filter("best", lambda e: e["neighbour"] != F.col("id")), 1, k)
+    return each.select("id", F.posexplode(others).alias("rank", "e")).select("id", "e.neighbour", "e.distance", (F.col("rank") + 1).alias("rank"))
+
+
 def mutual(lists: DataFrame) -> DataFrame:
     """(id_a, id_b, distance): pairs of which each is in the other's list."""
     return (lists.groupBy(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))

@@ -20,6 +20,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual(neighbours.near(table(spark, sf_dir, "file_content_embedding"))).select("id_a", "id_b")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every vector and their distance, however far."""
+    return neighbours.nearest(table(spark, sf_dir, "file_content_embedding"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have a second piece."""
     found = [_pieces(spark, sf_dir, *t).where(F.col("chunk_index") == 1).select("src_table", "row_id") for t in TEXTS]
@@ -106,7 +111,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.

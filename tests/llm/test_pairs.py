@@ -35,6 +35,26 @@ def test_neighbours_against_brute_force(spark, block_rows):
     assert copies == {(a, b) for a in range(1000, 1006) for b in range(a + 1, 1006)}
 
 
+@pytest.mark.parametrize("block_rows", [1_000_000, 70])
+def test_nearest_at_any_distance(spark, block_rows):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(200)]
+    rows += [(1000 + i, [1.0] * 16) for i in range(9)] + [(2000, [0.0] * 16), (2001, None), (2002, [1.0] * 3), rows[7]]
+    rows = [(i, v and [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame([(i, v, -0.1) for i, v in rows], VECTORS)
+    own = {i: np.array(v) for i, v in rows if i < 2000}
+    ids = sorted(own)
+    x = np.array([own[i] / np.linalg.norm(own[i]) for i in ids])
+    d = np.round(1 - x @ x.T, 9)
+    want = {(i, rank + 1, j) for a, i in enumerate(ids) for rank, (_, j) in enumerate(sorted((d[a, b], j) for b, j in enumerate(ids) if j != i)[:5])}
+    got = V.nearest(df, dim=16, block_rows=block_rows).collect()
+    assert len(got) == 5 * len(ids) and {(r.id, r["rank"], r.neighbour) for r in got} == want
+    place = {i: a for a, i in enumerate(ids)}
+    assert all(abs(r.distance - d[place[r.id], place[r.neighbour]]) < 1e-8 for r in got)
+    assert V.nearest(df.limit(0), dim=16).collect() == [] and V.nearest(df.where("id = 1"), dim=16).collect() == []
+    assert {(r.id, r.representative) for r in V.copies(df, dim=16).collect()} == {(1000 + i, 1000) for i in range(9)}
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([], VECTORS)
     assert V.near(df).collect() == []
