@@ -2,11 +2,14 @@
 
 The state has three keyed tables:
 
-* parents(id, since, gone): when each parent came (its earliest time), and when it was deleted, if it was;
+* parents(id, gone, arrivals): when each parent was deleted last, if it was, and the times it came at after that;
 * refs(src_table, row_id, file_id, at): every reference seen;
 * pending(src_table, row_id, file_id, at, resolved_at): references whose parent was not there when they
   came, or was deleted afterwards. `resolved_at` is null while the reference still waits.
 
+A parent is there from the first time it came after its last deletion, and absent for every reference, whatever its
+time, if it did not come again. So the state depends on what was delivered and not on the order.
+
 `advance` takes one batch of new references, parents and deletions. New references probe the parent index,
 arriving parents resolve waiting orphans, deletions reopen them. All steps are joins on the parent's key, so the
 state is partitioned by it and no key is ever gathered in one task: references are reduced to one row a key
@@ -26,6 +29,7 @@ SALTS = 16
 
 REFS = "src_table string, row_id bigint, file_id bigint, at timestamp_ntz"
 PARENTS = "id bigint, since timestamp_ntz, gone timestamp_ntz"
+INDEX = "id bigint, gone timestamp_ntz, arrivals array<timestamp_ntz>"
 PENDING = REFS + ", resolved_at timestamp_ntz"
 
 
@@ -54,29 +58,31 @@ def parents(df: DataFrame, key: str = "id", at: str = "create_time") -> DataFram
     )
 
 
-def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """The references whose parent is not in the index, or was not there at the time: pending rows.
+def probe(refs: DataFrame, starts: DataFrame) -> DataFrame:
+    """The references whose parent is not there, or was not there at the time: pending rows. starts(id, start): from
+    when each parent is there, null if it is deleted.
 
     `resolved_at` is the parent's time where it came later. Hot keys cost one row each in the probe, since the
     references are pre-aggregated by key; rows meet only the keys found to have orphans, salted by row.
     """
-    keys = refs.groupBy("file_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    index = index.select(F.col("id").alias("file_id"), "since", "gone")
-    bad = keys.join(index, "file_id", "left").where(
-        F.col("since").isNull() | (F.col("since") > F.col("first_at")) | (F.col("gone") <= F.col("last_at"))
+    keys = refs.groupBy("file_id").agg(F.min("at").alias("first_at"))
+    bad = keys.join(starts.select(F.col("id").alias("file_id"), "start"), "file_id", "left").where(
+        F.col("start").isNull() | (F.col("start") > F.col("first_at"))
     )
-    salted = bad.select("file_id", "since", "gone", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = bad.select("file_id", "start", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return (
         refs.withColumn("salt", F.pmod(F.col("row_id"), F.lit(SALTS)).cast("int"))
         .join(salted, ["file_id", "salt"])
-        .where(F.col("since").isNull() | (F.col("since") > F.col("at")) | (F.col("gone") <= F.col("at")))
-        .select(
-            "src_table", "row_id", "file_id", "at",
-            F.when(F.col("since") > F.col("at"), F.col("since")).alias("resolved_at"),
-        )
+        .where(F.col("start").isNull() | (F.col("start") > F.col("at")))
+        .select("src_table", "row_id", "file_id", "at", F.col("start").alias("resolved_at"))
     )
 
 
+def starts(index: DataFrame) -> DataFrame:
+    """(id, start): from when each parent of the state's index is there; null if it is deleted."""
+    return index.select("id", F.array_min("arrivals").alias("start"))
+
+
 @dataclass
 class OrphanState:
     """State after some batches. `opened` has the references found to be orphans by the last batch."""
@@ -89,47 +95,37 @@ class OrphanState:
     @staticmethod
     def empty(spark: SparkSession) -> OrphanState:
         pending = spark.createDataFrame([], PENDING)
-        return OrphanState(spark.createDataFrame([], PARENTS), spark.createDataFrame([], REFS), pending, pending)
+        return OrphanState(spark.createDataFrame([], INDEX), spark.createDataFrame([], REFS), pending, pending)
 
     def advance(self, refs: DataFrame | None = None, new_parents: DataFrame | None = None,
                 deleted: DataFrame | None = None, checkpoint: bool = True) -> OrphanState:
         """The state after one more batch. refs: as from references(); new_parents: as from parents();
-        deleted(id, gone): deletions, of which the latest counts. With `checkpoint`, lineage is cut each batch.
+        deleted(id, gone): deletions, of which the latest counts; one without a time is left out. With `checkpoint`,
+        lineage is cut each batch.
 
         A parent delivered late, with a time before the reference, withdraws the orphan; one with a later time
-        resolves it at that time. A row delivered again changes nothing.
+        resolves it at that time. A reference delivered after its parent's deletion waits, whatever its time. A row delivered again changes nothing.
         """
         spark = self.parents.sparkSession
         refs = (refs if refs is not None else spark.createDataFrame([], REFS)).dropDuplicates(["src_table", "row_id"])
         arrived = new_parents if new_parents is not None else spark.createDataFrame([], PARENTS)
         left = deleted if deleted is not None else spark.createDataFrame([], "id bigint, gone timestamp_ntz")
 
+        came = arrived.select("id", "gone", F.array_compact(F.array("since")).alias("arrivals"))
+        went = left.where(F.col("gone").isNotNull()).select("id", "gone", F.array().cast("array<timestamp_ntz>").alias("arrivals"))
         index = (
-            self.parents.unionByName(arrived)
-            .unionByName(left.select("id", F.lit(None).cast("timestamp_ntz").alias("since"), "gone"))
-            .groupBy("id").agg(F.min("since").alias("since"), F.max("gone").alias("gone"))
+            self.parents.unionByName(came).unionByName(went)
+            .groupBy("id").agg(F.max("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("arrivals"))).alias("arrivals"))
             # a parent that came again after its deletion is there again
-            .withColumn("gone", F.when(F.col("since") > F.col("gone"), F.lit(None)).otherwise(F.col("gone")))
+            .withColumn("arrivals", F.filter("arrivals", lambda t: F.col("gone").isNull() | (t > F.col("gone"))))
         )
         fresh = refs.join(self.refs.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
-        opened = probe(fresh, index)
-
-        # arriving parents meet the orphans that wait for them
-        by_key = arrived.groupBy("id").agg(F.min("since").alias("came"))
-        waiting = (
-            self.pending.join(by_key, self.pending.file_id == by_key.id, "left")
-            .where(F.col("came").isNull() | (F.col("came") > F.col("at")) | F.col("resolved_at").isNotNull())
-            .select("src_table", "row_id", "file_id", "at",
-                    F.coalesce("resolved_at", F.when(F.col("came") > F.col("at"), F.col("came"))).alias("resolved_at"))
-        )
-        # deletions reopen references that had their parent
-        dead = left.groupBy("id").agg(F.max("gone").alias("gone"))
-        reopened = (
-            self.refs.join(dead, self.refs.file_id == dead.id)
-            .join(self.pending.where(F.col("resolved_at").isNull()).select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
-            .select("src_table", "row_id", "file_id", "at", F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
-        )
-        pending = waiting.join(reopened.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti").unionByName(reopened).unionByName(opened)
+        opened = probe(fresh, starts(index))
+
+        # arriving parents resolve or withdraw the orphans that wait for them, deletions reopen references
+        touched = came.unionByName(went).select(F.col("id").alias("file_id")).distinct()
+        known = self.refs.join(touched, "file_id", "left_semi").select("src_table", "row_id", "file_id", "at")
+        pending = self.pending.join(touched, "file_id", "left_anti").unionByName(probe(known, starts(index))).unionByName(opened)
         seen = self.refs.unionByName(fresh)
         if checkpoint:
             index, seen, pending, opened = map(cut_lineage, (index, seen, pending, opened))
@@ -151,4 +147,5 @@ def snapshot(pending: DataFrame, period: str = "month", waiting_only: bool = Fal
 def first_batch(refs: DataFrame, new_parents: DataFrame) -> DataFrame:
     """The orphans that `advance` opens from an empty state, without the state's other tables: all references
     of the history in one batch. Repeated rows count once."""
-    return probe(refs, new_parents).dropDuplicates(["src_table", "row_id"])
+    there = F.when(F.col("gone").isNull() | (F.col("since") > F.col("gone")), F.col("since"))
+    return probe(refs, new_parents.select("id", there.alias("start"))).dropDuplicates(["src_table", "row_id"])

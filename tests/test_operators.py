@@ -62,6 +62,38 @@ def test_orphans_in_batches_as_at_once(spark, seed):
     assert [i for i, _ in found(at_once)] == sorted(i for i, f, h in r if f not in since or since[f] > h)
 
 
+@pytest.mark.parametrize("with_deletion", [True, False])
+def test_orphans_delivered_after_the_deletion(spark, with_deletion):
+    gone = spark.createDataFrame([(10, at(6))], "id bigint, gone timestamp_ntz")
+    late = refs(spark, [(1, 10, 5), (2, 10, 9)])
+    s = references.OrphanState.empty(spark).advance(None, parents(spark, [(10, 1)]))
+    s = s.advance(late, None, gone) if with_deletion else s.advance(None, None, gone).advance(late)
+    assert found(s.pending) == [(1, None), (2, None)] == found(s.opened)
+    s = s.advance(refs(spark, [(3, 10, 9)]), parents(spark, [(10, 8)]))  # created again
+    assert found(s.pending) == [(1, 8)] and found(s.opened) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_orphans_with_deletions_in_any_order(spark, seed):
+    rng = np.random.default_rng(seed)
+    r = [(i, int(rng.integers(0, 8)), int(rng.integers(0, 50))) for i in range(40)]
+    p = [(i % 7, int(rng.integers(0, 50))) for i in range(14)]  # each comes twice
+    d = [(i, int(rng.integers(0, 50))) for i in (0, 1, 2, 3, 3)]
+    want = []
+    for i, f, h in r:
+        gone = max((g for q, g in d if q == f), default=-1)
+        start = min((c for q, c in p if q == f and c > gone), default=None)
+        if start is None or start > h:
+            want.append((i, start))
+    s = references.OrphanState.empty(spark)
+    kinds = [("r", x) for x in r] + [("p", x) for x in p] + [("d", x) for x in d]
+    parts = np.array_split(rng.permutation(len(kinds)), 3)
+    for part in parts:
+        of = {k: [kinds[x][1] for x in part if kinds[x][0] == k] for k in "rpd"}
+        s = s.advance(refs(spark, of["r"]), parents(spark, of["p"]), spark.createDataFrame([(i, at(h)) for i, h in of["d"]], "id bigint, gone timestamp_ntz"))
+    assert found(s.pending) == sorted(want)
+
+
 def test_orphans_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None, at(1), 0), (2, 5, None, 0), (2, 5, None, 0), (None, 5, at(1), 0)], "id bigint, file_id bigint, create_time timestamp_ntz, since int")
     got = references.first_batch(references.references(df, "t"), parents(spark, [(5, 0)]))
