@@ -8,6 +8,7 @@ results for empty queries.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,6 +19,7 @@ from dowser import schemas as S
 from dowser.functions import exprs as X
 from dowser.operators import pipeline, search, tasks
 from dowser.operators import relational as R
+from dowser.session import cut_lineage
 from dowser.sources import extract, files
 from dowser.streaming import events as EV
 
@@ -162,7 +164,40 @@ class Engine:
         if again:
             self.index(again)
 
-    def watch(self, folder: str, checkpoint: str, gap: str = EV.GAP):
-        """Maintains the index by a folder of event files: debounced sessions, applied one after the other."""
-        stream = EV.debounced(files.event_log(self.spark, folder, S.FILE_EVENT).drop("arrive_time"), gap)
-        return stream.writeStream.foreachBatch(lambda batch, _: self.apply_events(EV.flush(batch))).option("checkpointLocation", checkpoint).start()
+    def apply_late(self, events: DataFrame) -> None:
+        """Events that come after later ones were applied. What they name is taken from the index and scanned again, so
+        that the files as they are now count, and not a time that has passed."""
+        late = EV.normalised(events)
+        gone = late.where("kind in ('remove', 'rename')")
+        self._put(R.apply_removals(*self._three(), gone.withColumn("kind", F.lit("remove"))))
+        named = late.where("kind in ('remove', 'rename') or coalesce(is_file, true)").select(F.explode(F.array("path", "to_path")).alias("path"))
+        again = [r.path for r in named.where("path is not null").distinct().collect()]
+        if again:
+            self.index(again)
+
+    def watch(self, folder: str, checkpoint: str, gap: str = EV.GAP, watermark: str = EV.WATERMARK):
+        """Maintains the index by a folder of event files: debounced sessions, applied one after the other. A session
+        is applied when the greatest time seen lies `watermark` behind its end; events that come later than that are
+        applied by themselves. Open sessions are kept in the checkpoint's folder, by batch."""
+        held = Path(checkpoint) / "held"
+        columns = [c for c in S.FILE_EVENT.fieldNames() if c != "arrive_time"]
+
+        def step(batch: DataFrame, n: int) -> None:
+            past, mark = held / f"v{n - 1}", held / f"v{n - 1}.txt"
+            text = mark.read_text() if mark.exists() else ""
+            before = datetime.fromisoformat(text) if text else None
+            fresh = batch.select(*columns).persist()
+            waiting = batch.sparkSession.read.schema(fresh.schema).parquet(str(past)) if past.exists() else fresh.limit(0)
+            last = fresh.agg((F.max("ts") - F.expr(f"interval {watermark}")).alias("t")).first().t
+            bound = max((t for t in (before, last) if t is not None), default=None)
+            # what waits was not behind the bound before
+            late, closed, still = EV.split_by_bound(waiting.unionByName(fresh), before, bound, gap)
+            still.write.mode("overwrite").parquet(str(held / f"v{n}"))
+            for df, apply in ((EV.sessions(closed, gap), self.apply_events), (late, self.apply_late)):
+                df = cut_lineage(df)  # applied by several joins
+                if not df.isEmpty():
+                    apply(df)
+            (held / f"v{n}.txt").write_text(bound.isoformat() if bound else "")
+            fresh.unpersist()
+
+        return files.event_log(self.spark, folder, S.FILE_EVENT).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

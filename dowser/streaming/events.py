@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -68,6 +69,19 @@ def debounced(stream: DataFrame, gap: str = GAP, watermark: str = WATERMARK) ->
     return live.groupBy("watcher", F.session_window("ts", gap).alias("w")).agg(rows.alias("events")).select(F.col("w.start").alias("session_start"), "events")
 
 
+def split_by_bound(events: DataFrame, before: datetime | None, bound: datetime | None, gap: str = GAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(late, closed, open): events whose session had to be closed by the earlier bound `before`, or that have no time;
+    events of sessions that end by `bound`; and the rest. Every event is in one of the three."""
+    span = F.expr(f"interval {gap}")
+    behind = F.col("ts").isNull() | (F.lit(False) if before is None else F.col("ts") + span <= F.lit(before).cast("timestamp_ntz"))
+    live = events.where(~behind)
+    placed = session_starts(live, span)
+    ends = placed.groupBy("session_start").agg(F.max("ts").alias("last"))
+    over = F.lit(False) if bound is None else F.col("last") + span <= F.lit(bound).cast("timestamp_ntz")
+    marked = live.join(placed.join(ends, "session_start").select("ts", over.alias("over")), "ts")
+    return events.where(behind), marked.where("over").select(*events.columns), marked.where("not over").select(*events.columns)
+
+
 def flush(batch: DataFrame) -> DataFrame:
     """What a batch of debounced() does to the index: one event for each session and path."""
     flat = batch.select("session_start", F.explode("events").alias("e")).select("session_start", "e.*")

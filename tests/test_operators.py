@@ -314,6 +314,33 @@ def test_engine_watches_events(spark, tmp_path):
     assert [r.name for r in e.files().collect()] == ["b.txt"]
 
 
+def test_engine_watches_late_events(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name in ("a.txt", "b.txt", "c.txt", "d.txt"):
+        (docs / name).write_text(name)
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index([str(docs)])
+    for name in ("a.txt", "b.txt"):
+        (docs / name).unlink()
+    (docs / "d.txt").rename(docs / "e.txt")
+    first = [(1, at(0), "remove", str(docs / "a.txt"), None, True, at(0)), (2, at(1), "other", None, None, None, at(1))]
+    # behind the watermark; c.txt came again since
+    late = [(3, at(0.5), "remove", str(docs / "b.txt"), None, True, at(2)), (4, at(0.5), "remove", str(docs / "c.txt"), None, True, at(2)),
+            (5, at(0.6), "rename", str(docs / "d.txt"), str(docs / "e.txt"), True, at(2))]
+    q = None
+    try:
+        for k, log in enumerate((first, late)):
+            spark.createDataFrame(log, S.FILE_EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+            q = q or e.watch(str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+            q.processAllAvailable()
+            names = {r.name for r in e.files().collect()}
+            assert names == ({"b.txt", "c.txt", "d.txt"}, {"c.txt", "e.txt"})[k]
+    finally:
+        if q:
+            q.stop()
+
+
 def test_rename_pairing_stream(spark, tmp_path):
     rows = [(1, at(0), "rename_from", "/a", None, "r"), (2, at(0) + timedelta(milliseconds=100), "rename_to", "/b", None, "r"), (3, at(1), "rename_from", "/c", None, "r"),
             (4, at(2), "modify", "/d", None, "r"), (5, at(2), "rename_from", "/e", None, "r")]
