@@ -11,8 +11,9 @@ Neighbouring segments of one language form a stretch; segments too short to tell
 
 from __future__ import annotations
 
-import base64
+import itertools
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,15 +23,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dowser.llm import samples
+from dowser.llm.noise import Noise
+
 BUCKETS_BITS, ORDERS = 16, 4
-SAMPLE, SEGMENTS, SEED = 3000, 1500, 3
+SAMPLE, SEGMENTS, SEED, BATCH = 3000, 1500, 3, 32
 UND = "und"
 CHUNK = 200_000
+#: A language with fewer segments in the sample is no class. A perfect held-out set would drive the temperature to nothing.
+LEAST_SEGMENTS, LEAST_TEMPERATURE = 30, 0.15
 
-# Usual names and codes of the languages; a region or script after - or _ is dropped first.
+# Usual codes and names of languages by code (ISO 639); a region or script after - or _ is dropped first.
 NAMES = {
-    "en": "en eng english", "de": "de deu ger german deutsch", "fr": "fr fra fre french français francais",
-    "es": "es spa spanish español espanol castellano", "zh": "zh zho chi cmn chinese 中文 汉语",
+    "ar": "ar ara arabic العربية", "bg": "bg bul bulgarian български", "bn": "bn ben bengali বাংলা", "ca": "ca cat catalan català", "cs": "cs ces cze czech čeština",
+    "da": "da dan danish dansk", "de": "de deu ger german deutsch", "el": "el ell gre greek ελληνικά", "en": "en eng english", "es": "es spa spanish español espanol castellano",
+    "et": "et est estonian eesti", "fa": "fa fas per persian farsi فارسی", "fi": "fi fin finnish suomi", "fr": "fr fra fre french français francais", "he": "he heb iw hebrew עברית",
+    "hi": "hi hin hindi हिन्दी", "hr": "hr hrv croatian hrvatski", "hu": "hu hun hungarian magyar", "id": "id ind indonesian", "it": "it ita italian italiano", "ja": "ja jpn japanese 日本語",
+    "ko": "ko kor korean 한국어", "lt": "lt lit lithuanian lietuvių", "lv": "lv lav latvian latviešu", "ms": "ms msa may malay melayu", "nl": "nl nld dut dutch nederlands",
+    "no": "no nor nb nob nn nno norwegian norsk", "pl": "pl pol polish polski", "pt": "pt por portuguese português portugues", "ro": "ro ron rum romanian română",
+    "ru": "ru rus russian русский", "sk": "sk slk slo slovak slovenčina", "sl": "sl slv slovenian slovenščina", "sr": "sr srp serbian српски", "sv": "sv swe swedish svenska",
+    "sw": "sw swa swahili kiswahili", "ta": "ta tam tamil தமிழ்", "te": "te tel telugu తెలుగు", "th": "th tha thai ไทย", "tr": "tr tur turkish türkçe", "uk": "uk ukr ukrainian українська",
+    "ur": "ur urd urdu اردو", "vi": "vi vie vietnamese", "zh": "zh zho chi cmn chinese 中文 汉语 漢語",
 }
 
 
@@ -46,6 +59,7 @@ def named(lang: Column) -> Column:
 # --- segments and features ----------------------------------------------------------------------------------------
 
 _HAN_LOW, _HAN_HIGH = 0x3400, 0x9FFF
+_HAN = re.compile("[㐀-鿿]")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +121,7 @@ class Model:
     weights: np.ndarray  # buckets x languages, inverse document frequencies included
     bias: np.ndarray
     temperature: float
+    calibration: float = 0.0  # mean distance of confidence and accuracy over held-out segments, by tenths of confidence
 
     def probabilities(self, c: np.ndarray, seg: np.ndarray, count: int) -> np.ndarray:
         """One row a segment."""
@@ -127,8 +142,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, buckets: int, alpha: float = 2.0, beta: float = 1.0,
-         l1: float = 0.002, l2: float = 0.02, epochs: int = 3, seed: int = SEED) -> np.ndarray:
-    """Weights (buckets + 1) x classes by follow-the-regularised-leader (proximal); the last row is the bias."""
+         l1: float = 0.002, l2: float = 0.02, epochs: int = 3, batch: int = BATCH, seed: int = SEED) -> np.ndarray:
+    """Weights (buckets + 1) x classes by follow-the-regularised-leader (proximal); the last row is the bias. The
+    gradients of `batch` rows make one step."""
     z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
     rng = np.random.default_rng(seed)
 
@@ -136,48 +152,41 @@ def ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
         return np.where(np.abs(zi) <= l1i, 0.0, -(zi - np.sign(zi) * l1i) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            idx, val = rows[i]
-            idx, val = np.append(idx, buckets), np.append(val, 1.0)
-            l1i = np.full((len(idx), 1), l1)
-            l1i[-1] = 0
-            w = weights(z[idx], n[idx], l1i)
-            p = softmax((val @ w)[None])[0]
-            p[y[i]] -= 1
-            g = val[:, None] * p
-            sigma = (np.sqrt(n[idx] + g * g) - np.sqrt(n[idx])) / alpha
-            z[idx] += g - sigma * w
-            n[idx] += g * g
+        mix = rng.permutation(len(rows))
+        for first in range(0, len(mix), batch):
+            part = mix[first : first + batch]
+            idx = np.concatenate([*(rows[i][0] for i in part), [buckets]])
+            used, at = np.unique(idx, return_inverse=True)
+            l1i = np.full((len(used), 1), l1)
+            l1i[-1] = 0  # the bias has the greatest index
+            w = weights(z[used], n[used], l1i)
+            size = [len(rows[i][0]) for i in part]
+            owner, at = np.repeat(np.arange(len(part)), size), at[:-1]
+            val = np.concatenate([rows[i][1] for i in part])
+            score = np.stack([np.bincount(owner, val * w[at, k], len(part)) for k in range(classes)], axis=1) + w[-1]
+            p = softmax(score)
+            p[np.arange(len(part)), y[part]] -= 1
+            g = np.stack([np.bincount(at, val * p[owner, k], len(used)) for k in range(classes)], axis=1)
+            g[-1] = p.sum(0)
+            sigma = (np.sqrt(n[used] + g * g) - np.sqrt(n[used])) / alpha
+            z[used] += g - sigma * w
+            n[used] += g * g
     l1all = np.full((buckets + 1, 1), l1)
     l1all[-1] = 0
     return weights(z, n, l1all)
 
 
 def nonlanguage(paths: Sequence[str], count: int, seed: int = SEED) -> list[str]:
-    """Segments without a language: codes, noise, and names out of paths."""
+    """Segments without a language, by the rules of noise.py; their names are those in paths, or random letters."""
     r, out = random.Random(seed), []
-    names = [w for p in paths if p for w in p.replace("\\", "/").replace("_", "/").split("/") if 3 <= len(w) <= 16] or ["tavor", "simek"]
-    for i in range(count):
-        k = i % 8
-        size = r.randint(20, 120)
-        if k == 0:
-            out.append(base64.b64encode(r.randbytes(size)).decode()[:76])
-        elif k == 1:
-            out.append("".join(r.choice("Il1|O0.cmnrev      ") for _ in range(size)))
-        elif k == 2:
-            out.append("/" + "/".join(r.choice(names) for _ in range(r.randint(2, 5))) + f"_{r.randint(1, 900)}.{r.choice(('bin', 'log', 'txt'))}")
-        elif k == 3:
-            out.append(",".join(f'{{"k":"{r.choice(names).title()}","n":{r.randint(1, 400)},"f":{r.random():.4f}}}' for _ in range(r.randint(1, 5))))
-        elif k == 4:
-            token = r.choice(("xx", "nan", "null", "test", "foo", "n/a", "asdf", "xyz", "none", "tbd", "todo", "abc")) if r.random() < 0.6 else "".join(r.choice("abcdeilmnoprstux") for _ in range(r.randint(2, 6)))
-            out.append(" ".join([token] * r.randint(5, 40)))
-        elif k == 5:
-            out.append(" ".join(f"{r.randint(0, 255):02x}" for _ in range(16)))
-        elif k == 6:
-            out.append(" ".join(r.choice(names).title() for _ in range(r.randint(1, 6))))
+    noise = Noise(r, sorted({w for p in paths if p for w in re.split(r"[/\\_.\s-]+", p) if 3 <= len(w) <= 16 and w.isalpha()}))
+    while len(out) < count:
+        name = r.choice((noise.word, noise.letters, noise.shuffled, noise.code))
+        if r.random() < 0.2:  # names in a row
+            out.append(" ".join(w.title() if r.random() < 0.5 else w for w in (name() for _ in range(r.randint(1, 8)))))
         else:
-            out.append("".join(r.choice("bcdfghjklmnpqrstvwxyzaeiou") if r.random() < 0.8 else " " for _ in range(size)))
-    return out
+            out += [s for s in cut(noise.any(r.randint(20, 160), name)) if LETTER[units(s)].any()][:4]
+    return out[:count]
 
 
 def cut(text: str) -> list[str]:
@@ -191,15 +200,33 @@ def cut(text: str) -> list[str]:
     return out
 
 
+def counted(pieces: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each piece's n-grams."""
+    out = []
+    for at in range(0, len(pieces), 1000):
+        part = pieces[at : at + 1000]
+        c = [units(s) for s in part]
+        seg, bucket = features(np.concatenate(c), np.repeat(np.arange(len(part)), [len(x) for x in c]))
+        key, n = np.unique(seg << BUCKETS_BITS | bucket, return_counts=True)
+        edge = np.searchsorted(key >> BUCKETS_BITS, np.arange(len(part) + 1))
+        total = np.maximum(np.bincount(seg, minlength=len(part)), 1)
+        out += [(key[a:b] & ((1 << BUCKETS_BITS) - 1), n[a:b] / total[i]) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    return out
+
+
 def fit(texts: Sequence[tuple[str, str]], paths: Sequence[str] = (), each: int = SEGMENTS, seed: int = SEED) -> Model:
     """From (language, text) rows; of each language at most `each` segments. A text's segments fall into one of two
     folds together; the first fit on each fold judges the labels of the other, and the last uses those confirmed."""
     rng = random.Random(seed)
     pool: dict[str, list[tuple[int, str]]] = {}
     for fold, (lang, text) in enumerate(texts):
-        pool.setdefault(lang, []).extend((fold % 2, s) for s in cut(text) if int(LETTER[units(s)].sum()) >= (6 if any(_HAN_LOW <= ord(ch) <= _HAN_HIGH for ch in s) else 16))
-    languages = sorted(k for k, v in pool.items() if len(v) >= 5)
-    segments = [(k, *s) for k in languages for s in (rng.sample(pool[k], each) if len(pool[k]) > each else pool[k])]
+        pool.setdefault(lang, []).extend((fold % 2, s) for s in cut(text))
+    for lang, rows in pool.items():
+        rng.shuffle(rows)
+        fit_for = (r for r in rows if int(LETTER[units(r[1])].sum()) >= (6 if _HAN.search(r[1]) else 16))
+        pool[lang] = list(itertools.islice(fit_for, each))
+    languages = sorted(k for k, v in pool.items() if len(v) >= LEAST_SEGMENTS)
+    segments = [(k, *s) for k in languages for s in pool[k]]
     languages.append(UND)
     most = max(Counter(k for k, _, _ in segments).values(), default=9)  # no class outweighs the languages
     segments += [(UND, i % 2, s) for i, s in enumerate(nonlanguage(paths, most, seed))]
@@ -212,14 +239,8 @@ def fit(texts: Sequence[tuple[str, str]], paths: Sequence[str] = (), each: int =
             i = rng.randint(0, len(words) - 4)
             pieces.append((k, fold, " ".join(words[i : i + rng.randint(3, 6)])))
     buckets = 1 << BUCKETS_BITS
-    rows = []
-    df = np.zeros(buckets)
-    for _, _, s in pieces:
-        c = units(s)
-        _, b = features(c, np.zeros(len(c), np.int64))
-        idx, n = np.unique(b, return_counts=True)
-        df[idx] += 1
-        rows.append((idx, n / max(1, len(b))))
+    rows = counted([s for _, _, s in pieces])
+    df = np.bincount(np.concatenate([i for i, _ in rows]), minlength=buckets)
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     rows = [(i, v * idf[i]) for i, v in rows]
     y = np.array([languages.index(k) for k, _, _ in pieces])
@@ -237,15 +258,25 @@ def fit(texts: Sequence[tuple[str, str]], paths: Sequence[str] = (), each: int =
     logits = np.array([v @ w[i] + w[-1] for i, v in rows])
     z, t = logits[held & agreed], y[held & agreed]
     best = min((float(-np.log(softmax(z / T)[np.arange(len(t)), t] + 1e-12).mean()), T) for T in np.geomspace(0.05, 5, 41)) if len(t) else (0, 1.0)
-    # a perfect held-out set would drive the temperature to nothing
-    return Model(languages, np.ascontiguousarray((w[:-1] * idf[:, None]).T.astype(np.float32)), w[-1], max(best[1], 0.15))
+    temperature = max(best[1], LEAST_TEMPERATURE)
+    return Model(languages, np.ascontiguousarray((w[:-1] * idf[:, None]).T.astype(np.float32)), w[-1], temperature, calibration_error(softmax(z / temperature), t))
+
+
+def calibration_error(p: np.ndarray, y: np.ndarray) -> float:
+    if not len(y):
+        return 0.0
+    sure, right = p.max(1), p.argmax(1) == y
+    tenth = np.minimum((sure * 10).astype(int), 9)
+    return float(sum(abs(sure[tenth == k].sum() - right[tenth == k].sum()) for k in range(10)) / len(y))
 
 
 def fit_on(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str = "path", sample: int = SAMPLE, each: int = SEGMENTS) -> Model:
-    """Fitted on the `sample` rows with a usable label that have the least hashes of their keys."""
-    got = (df.select(key, named(F.col(lang)).alias("lang"), F.col(text).alias("text"), F.col(path).alias("path"))
-           .where(F.col("lang").isNotNull() & F.length("text").between(1, 20_000)).orderBy(F.xxhash64(key), key).limit(sample).select("lang", "text", "path").toArrow())
-    return fit(list(zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True)), got.column("path").to_pylist(), each)
+    """Fitted on the `sample` rows with a usable label that have the least hashes of their keys; texts above
+    samples.MOST_CHARS are no sample."""
+    rows = df.select(key, named(F.col(lang)).alias("_lang"), F.col(text).alias("_text"), F.col(path).alias("_path"))
+    got = samples.sample(rows, key, ["_lang", "_text", "_path"], sample, F.col("_lang").isNotNull() & F.length("_text").between(1, samples.MOST_CHARS))
+    texts, paths = list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)), got.column(2).to_pylist()
+    return samples.fitted(df.sparkSession, "language", (texts, paths, each, SEED, BUCKETS_BITS), lambda: fit(texts, paths, each))
 
 
 # --- applying -----------------------------------------------------------------------------------------------------
@@ -281,6 +312,12 @@ def judge(model: Model, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray,
         at = upto
 
 
+def monotonous(text: str) -> bool:
+    """Whether one token makes up more than half of a text."""
+    words = text.split()
+    return len(words) >= 8 and len(set(words)) <= len(words) / 2 and Counter(words).most_common(1)[0][1] > len(words) / 2
+
+
 def verdicts(model: Model, texts: Sequence[str]) -> dict[str, np.ndarray]:
     """Per text: the language of most of it (und: none), the confidence, and letters in other languages by entry."""
     und = model.languages.index(UND)
@@ -297,7 +334,7 @@ def verdicts(model: Model, texts: Sequence[str]) -> dict[str, np.ndarray]:
         share_und = mass[:, und] / total
         best = p.argmax(1)
         plain = np.bincount(owner, np.where((best != und) & (p.max(1) >= PLAIN), weight, 0.0), n)  # what is plainly in some language
-        none = (share_und > 0.5) | (plain < 0.5 * total) | (alone.max(1) < LEAST * 0.7)
+        none = (share_und > 0.5) | (plain < 0.5 * total) | (alone.max(1) < LEAST * 0.7) | np.fromiter(map(monotonous, texts[first : first + n]), bool, n)
         sure = (letters >= ENTRY) & (best != und) & (best != main[owner]) & (p.max(1) >= SURE) & (p[np.arange(len(p)), main[owner]] < 1 - SURE)
         big = np.zeros((n, p.shape[1]))
         np.maximum.at(big, (owner[sure], best[sure]), letters[sure])

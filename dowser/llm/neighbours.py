@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dowser.llm import samples
 from dowser.session import cut_lineage
 
 WORDS, SUB_BITS = 2, 20
@@ -85,8 +86,7 @@ class Hasher:
     @staticmethod
     def fit(df: DataFrame, key: str, vector: str, dim: int, sample: int = SAMPLE, words: int = WORDS) -> Hasher:
         """Fitted on `sample` rows, those with the least hashes of their keys."""
-        rows = df.where(F.size(vector) == dim).select(key, vector).orderBy(F.xxhash64(F.col(key)), key).limit(sample).select(vector).toArrow()
-        _, unit = matrix(rows.column(0), dim)
+        _, unit = matrix(samples.sample(df, key, [vector], sample, F.size(vector) == dim).column(0), dim)
         turn = rotations(unit, words)
         return Hasher(dim, turn.astype(np.float32), (unit.mean(0) if len(unit) else np.zeros(dim)).astype(np.float32))
 

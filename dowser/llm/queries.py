@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dowser.llm import encoding, language, near_duplicates, neighbours, packing, quality, splitting, tokenizer
@@ -11,8 +11,8 @@ from dowser.tables import table
 TEXTS = (("file_info", "content"), ("file_content_embedding", "chunk_text"))
 
 
-def _pieces(spark: SparkSession, sf_dir: str, name: str, text: str) -> DataFrame:
-    return splitting.split(table(spark, sf_dir, name), text, "id").select(
+def _pieces(rows: DataFrame, name: str, text: str) -> DataFrame:
+    return splitting.split(rows, text, "id").select(
         F.lit(name).alias("src_table"), F.col("id").alias("row_id"), "chunk_index", "chunk_start", "chunk_text")
 
 
@@ -27,14 +27,35 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have a second piece."""
-    found = [_pieces(spark, sf_dir, *t).where(F.col("chunk_index") == 1).select("src_table", "row_id") for t in TEXTS]
+    found = [_pieces(table(spark, sf_dir, name), name, text).where(F.col("chunk_index") == 1).select("src_table", "row_id") for name, text in TEXTS]
     return found[0].unionByName(found[1]).distinct()
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of every oversized row, each id once."""
-    every = [_pieces(spark, sf_dir, *t) for t in TEXTS]
-    return every[0].unionByName(every[1]).dropDuplicates(["src_table", "row_id", "chunk_index"])
+    """The pieces of every oversized row, each id once; of several oversized versions the latest is cut."""
+    every = []
+    for name, text in TEXTS:
+        rows = table(spark, sf_dir, name)
+        version = F.struct(F.col("update_time" if "update_time" in rows.columns else "create_time"), F.xxhash64(text))
+        big = rows.where((F.char_length(text) > splitting.LIMIT) & (splitting.size(F.col(text)) > splitting.LIMIT))
+        every.append(_pieces(big.groupBy("id").agg(F.max_by(text, version).alias(text)), name, text))
+    return every[0].unionByName(every[1])
+
+
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_table, rows_cut, too_long, cut_wrong, covered): of p3_pieces, how many rows were cut, how many pieces are
+    above the limit or don't begin with the end of the one before, and the characters of all texts put together
+    again from their pieces."""
+    pieces = p3_pieces(spark, sf_dir)
+    end = F.col("chunk_start") + F.char_length("chunk_text")
+    before = F.lag(F.struct(end.alias("end"), F.col("chunk_text").alias("text"))).over(Window.partitionBy("src_table", "row_id").orderBy("chunk_index"))
+    joined = pieces.withColumn("before", before)
+    fresh = F.when(F.col("before").isNull(), F.char_length("chunk_text")).otherwise(end - F.col("before.end"))
+    wrong = F.col("before").isNotNull() & ((F.col("before.end") - F.col("chunk_start") != splitting.OVERLAP)
+                                           | (F.right(F.col("before.text"), F.lit(splitting.OVERLAP)) != F.left(F.col("chunk_text"), F.lit(splitting.OVERLAP))))
+    return joined.groupBy("src_table").agg(
+        F.countDistinct("row_id").alias("rows_cut"), F.sum(F.when(F.char_length("chunk_text") > splitting.LIMIT, 1).otherwise(0)).alias("too_long"),
+        F.sum(F.when(wrong, 1).otherwise(0)).alias("cut_wrong"), F.sum(fresh).alias("covered"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +84,15 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_table, row_id, language, confidence, mixed, other, label): every document, and every file under a root set
-    to English, with the label it comes with."""
+    """(src_table, row_id, language, confidence, mixed, other, label, known): every document, and every file under a root
+    set to English, with the label it comes with. known: the label is of a language that the model can tell."""
     docs, files = table(spark, sf_dir, "documents"), table(spark, sf_dir, "file_info")
     model = language.fit_on(docs)
     english = table(spark, sf_dir, "indexer_setting").where("lower(trim(coalesce(file_content_language, ''))) <> 'multilingual'")
     one = language.documents(docs.withColumn("label", language.named(F.col("lang"))), model, "doc_id", "text", ["label"]).withColumnRenamed("doc_id", "row_id")
     two = language.documents(language.under_roots(files, english).withColumn("label", F.lit("en")), model, "id", "content", ["label"]).withColumnRenamed("id", "row_id")
-    return one.select(F.lit("documents").alias("src_table"), "*").unionByName(two.select(F.lit("file_info").alias("src_table"), "*"))
+    both = one.select(F.lit("documents").alias("src_table"), "*").unionByName(two.select(F.lit("file_info").alias("src_table"), "*"))
+    return both.withColumn("known", F.coalesce(F.col("label").isin(*model.languages), F.lit(False)))
 
 
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +105,9 @@ def p6_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _languages(spark, sf_dir).where("language <> 'und' and (mixed or label is null or label <> language)")
-    return found.select("src_table", "row_id").distinct()
+    """Another language than the label's must be told with more confidence if the label's is none that the model knows."""
+    other = F.col("label").isNull() | ((F.col("label") != F.col("language")) & (F.col("known") | (F.col("confidence") >= language.SURE)))
+    return _languages(spark, sf_dir).where((F.col("language") != language.UND) & (F.col("mixed") | other)).select("src_table", "row_id").distinct()
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +134,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
@@ -126,6 +149,9 @@ pairs as (select id_a, id_b from shared where o >= 0.6 * (na + nb - o))
 """
 SQL = {
     "p4_found": _TRIPLES + "select id_a, id_b from pairs",
+    "p3_totals": " union all ".join(
+        f"select '{name}' as src_table, count(*) as rows_cut, 0 as too_long, 0 as cut_wrong, sum(n) as covered from (select id, any_value({_SIZE.format(text)}) as n from {name} group by id) where n > {splitting.LIMIT}"
+        for name, text in TEXTS),
     "p3_found": " union ".join(
         f"select '{name}' as src_table, id as row_id from {name} where {_SIZE.format(text)} > {splitting.LIMIT}" for name, text in TEXTS),
 }

@@ -6,7 +6,7 @@ piece that starts `overlap` characters before the boundary. Squaring the success
 of the greedy split together, in a number of steps that grows as the logarithm of the number of pieces.
 
 Sizes are code points of the normalised text: each run of CR and LF has become one LF, and spaces, tabs, CR and LF are
-removed from both ends.
+removed from both ends. A run of several line ends, or of a line of blanks, ends a paragraph.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ LIMIT, OVERLAP = 4000, 80
 #: A piece ends at the strongest boundary in the last part of its room; a weaker one only if there is no stronger.
 ROOM = 0.5
 
-_PARAGRAPH = re.compile(r"\n[ \t]*\n+|\n{2,}")
+_BREAK = re.compile(r"[\r\n]+")
+_BLANK_LINE = re.compile(r"\n[ \t]+(?=\n)")
 _LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"""[.!?…]+["'”’»)\]]*(?=\s)|[。！？；]+[”’」』）]*""")
 _WORD = re.compile(r"\s+")
@@ -41,18 +42,31 @@ def size(text: Column) -> Column:
     return F.char_length(normalised(text))
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a piece may end, ascending, and their strength: 1 word, 2 sentence, 3 line, 4 paragraph."""
+def paragraphs(raw: str) -> tuple[str, np.ndarray]:
+    """(text, places): a text without blank ends, with each run of CR and LF as one LF, and the places of those LF
+    that end a paragraph."""
+    out, places, at, size = [], [], 0, 0
+    for m in _BREAK.finditer(raw):
+        out.append(raw[at : m.start()] + "\n")
+        size += len(out[-1])
+        if len(m.group().replace("\r\n", "\n")) > 1:
+            places.append(size - 1)
+        at = m.end()
+    text = "".join([*out, raw[at:]])
+    places += [m.start() for m in _BLANK_LINE.finditer(text)]
+    return text, np.array(places, np.int64)
+
+
+def boundaries(text: str, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a piece may end, ascending, and their strength: 1 word, 2 sentence, 3 line, 4 paragraph. ends: the
+    places where paragraphs end."""
     strength = np.zeros(len(text) + 1, np.int8)
-    for pattern, level in ((_WORD, 1), (_IDEOGRAPH, 1)):
-        if level == 1 and pattern is _IDEOGRAPH:
-            ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
-        else:
-            ends = np.fromiter((m.start() for m in pattern.finditer(text)), np.int64)
-        strength[ends] = level
-    for pattern, level in ((_SENTENCE, 2), (_LINE, 3), (_PARAGRAPH, 4)):
-        ends = np.fromiter((m.end() if level == 2 else m.start() for m in pattern.finditer(text)), np.int64)
-        strength[ends] = np.maximum(strength[ends], level)
+    for pattern, level in ((_WORD, 1), (_IDEOGRAPH, 1), (_SENTENCE, 2), (_LINE, 3)):
+        after = pattern in (_IDEOGRAPH, _SENTENCE)  # they end with the match, others where it begins
+        found = np.fromiter((m.end() if after else m.start() for m in pattern.finditer(text)), np.int64)
+        strength[found] = np.maximum(strength[found], level)
+    if ends is not None:
+        strength[ends] = 4
     strength[len(text)] = 4
     strength[0] = 0
     places = np.flatnonzero(strength)
@@ -96,9 +110,9 @@ def successors(places: np.ndarray, strength: np.ndarray, limit: int, overlap: in
     return nodes, best
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> np.ndarray:
+def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, ends: np.ndarray | None = None) -> np.ndarray:
     """The places of all cuts, from 0 to the end, by squaring the successor table."""
-    nodes, jump = successors(*boundaries(text), limit, overlap)
+    nodes, jump = successors(*boundaries(text, ends), limit, overlap)
     end = len(nodes) - 1
     path = np.array([0])
     while path[-1] != end:  # path holds the first 2^k cuts, jump leads 2^k cuts on
@@ -108,11 +122,12 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> np.ndarray:
     return nodes[path]
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
-    """The pieces of a normalised text; each but the first begins with the last `overlap` characters of the one before."""
+def pieces(raw: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
+    """The pieces of a text; each but the first begins with the last `overlap` characters of the one before."""
+    text, ends = paragraphs(raw.strip(" \t\r\n"))
     if len(text) <= limit:
         return [text]
-    at = cuts(text, limit, overlap)
+    at = cuts(text, limit, overlap, ends)
     return [text[max(0, a - overlap) if i else 0 : b] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
 
 
@@ -120,19 +135,19 @@ def split(df: DataFrame, text: str, key: str, limit: int = LIMIT, overlap: int =
     """(key, chunk_index, chunk_start, chunk_text) of the pieces of every row whose text is above the limit.
 
     Null, empty and blank texts and those within the limit have no rows. A key that comes twice is split twice.
-    Normalising and the test of size run in the JVM, so only oversized texts reach Python.
+    The test of size runs in the JVM, so only oversized texts reach Python.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap is below the limit")
     kind = dict(df.dtypes)[key]
     # a text cannot shrink to fit if it has few code points to begin with: the cheap test comes first
-    big = df.where(F.char_length(text) > limit).select(key, normalised(F.col(text)).alias("_text")).where(F.char_length("_text") > limit)
+    big = df.where((F.char_length(text) > limit) & (size(F.col(text)) > limit)).select(key, F.regexp_replace(F.col(text), r"^[ \t\r\n]+|[ \t\r\n]+\z", "").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                t = batch.column(1)[row].as_py()
-                at = cuts(t, limit, overlap)
+                t, ends = paragraphs(batch.column(1)[row].as_py())
+                at = cuts(t, limit, overlap, ends)
                 begin = np.maximum(at[:-1] - overlap, 0)
                 begin[0] = 0
                 n = len(begin)

@@ -1,4 +1,5 @@
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -33,15 +34,17 @@ def test_split(parts, limit, data):
     overlap = data.draw(st.integers(0, limit - 1))
     got = splitting.pieces(text, limit, overlap)
     assert all(len(p) <= limit for p in got)
-    if len(text) <= limit:
-        assert got == [text]
+    if len(splitting.paragraphs(text)[0]) <= limit:
+        assert got == [splitting.paragraphs(text)[0]]
         return
-    nodes, jump = splitting.successors(*splitting.boundaries(text), limit, overlap)
+    text, ends = splitting.paragraphs(text)
+    assert text == re.sub(r"[\r\n]+", "\n", "".join(parts).strip(" \t\r\n"))
+    nodes, jump = splitting.successors(*splitting.boundaries(text, ends), limit, overlap)
     walk = [0]
     while walk[-1] != len(nodes) - 1:  # one step after the other
         assert jump[walk[-1]] > walk[-1]
         walk.append(int(jump[walk[-1]]))
-    at = splitting.cuts(text, limit, overlap)
+    at = splitting.cuts(text, limit, overlap, ends)
     assert at.tolist() == nodes[walk].tolist() and at[-1] == len(text)
     assert got[0] + "".join(p[min(overlap, int(c)) :] for p, c in zip(got[1:], at[1:-1], strict=True)) == text
     assert all(b.startswith(text[max(0, c - overlap) : c]) for b, c in zip(got[1:], at[1:-1].tolist(), strict=True))
@@ -50,7 +53,10 @@ def test_split(parts, limit, data):
 def test_cuts_lie_at_the_strongest_boundary():
     text = "word " * 30 + "end.\n" + "more words " * 30
     assert splitting.pieces(text.strip(), 200, 10)[0].endswith("end.")
-    assert [len(p) for p in splitting.pieces("x" * 1000, 300, 50)] == [250, 300, 300, 300, 50 + 0][:4] or max(map(len, splitting.pieces("x" * 1000, 300, 50))) <= 300
+    for end in ("\n\n", "\r\n\r\n", "\n \t\n"):  # a paragraph end is stronger than the line end after it
+        text = "word " * 24 + "end of all" + end + "a line\n" + "more words " * 30
+        assert splitting.pieces(text.strip(), 200, 10)[0].endswith("end of all")
+    assert [len(p) for p in splitting.pieces("x" * 1000, 300, 50)] == [250, 300, 300, 300]
 
 
 def test_split_rows(spark):
@@ -129,6 +135,14 @@ def test_language_of_held_out_sentences(model):
     assert names[none["language"]].tolist() == ["und"] * 4
 
 
+def test_no_language(model):
+    """Kinds of text without a language that nothing is trained on."""
+    held = [t for t in HELD_OUT if not re.search("flour|Miller|return|SUBTOTAL", t)]  # those have words
+    got = np.array(model.languages)[language.verdicts(model, [*held, "report " * 40, "la " * 30])["language"]]
+    assert (got == "und").mean() >= 0.75 and got[-2:].tolist() == ["und", "und"]
+    assert model.calibration < 0.05
+
+
 def test_mixed_documents(model):
     both = SENTENCES["en"][4] + " " + SENTENCES["en"][5] + "\n" + SENTENCES["de"][4]
     phrase = SENTENCES["en"][4] + " The sign said „Bitte warten“ twice. " + SENTENCES["en"][5]
@@ -156,20 +170,54 @@ def test_labels_and_roots(spark):
 
 # --- quality ------------------------------------------------------------------------------------------------------
 
+USAGE = quality.Usage.learn([], [])
 COMMON = quality.Lexicon("the of and to in is that it der die und das le la les et el los que 的 了 在".split())
 
 
 def test_statistics():
-    s = dict(zip(quality.NAMES, quality.statistics(["The cat is in the hat.\nIt's 42!"], COMMON)[0], strict=True))
+    s = dict(zip(quality.NAMES, quality.statistics(["The cat is in the hat.\nIt's 42!"], COMMON, USAGE)[0], strict=True))
     assert s["word_count"] == 8 and s["punct_line_share"] == 1 and s["common_share"] == 4 / 8
     assert s["mean_word_length"] == 19 / 8 and s["symbol_ratio"] == 3 / 31 and s["mean_line_length"] == 15.5
-    zh = dict(zip(quality.NAMES, quality.statistics(["他在家了。"], COMMON)[0], strict=True))
+    zh = dict(zip(quality.NAMES, quality.statistics(["他在家了。"], COMMON, USAGE)[0], strict=True))
     assert zh["word_count"] == 2 and zh["common_share"] == 1.0
-    lists = dict(zip(quality.NAMES, quality.statistics(["- one\n2) two\n\nthree"], COMMON)[0], strict=True))
+    lists = dict(zip(quality.NAMES, quality.statistics(["- one\n2) two\n\nthree"], COMMON, USAGE)[0], strict=True))
     assert lists["marker_line_share"] == 2 / 3
-    assert not quality.statistics(["", "  \n"], COMMON).any()
+    assert not quality.statistics(["", "  \n"], COMMON, USAGE).any()
     many = ["The cat is in the hat."] * 3 + ["x" * (quality.CHUNK + 5)]
-    assert (quality.statistics(many, COMMON)[:3] == quality.statistics(many[:1], COMMON)).all()
+    assert (quality.statistics(many, COMMON, USAGE)[:3] == quality.statistics(many[:1], COMMON, USAGE)).all()
+
+
+def documents():
+    if not Path(DATA).exists():
+        pytest.skip("no test data")
+    return [t for t in pq.read_table(DATA, columns=["text"]).column(0).to_pylist() if t and len(t) <= 20_000]
+
+
+#: Kinds of junk that no builder makes.
+HELD_OUT = [
+    "\n".join(f"{i}. e{i % 8 + 1} {'abcdefgh'[i % 8]}{i % 8 + 1} {i + 1}... N{'abcdefgh'[i * 3 % 8]}{i * 5 % 8 + 1} Qx{'abcdefgh'[i * 7 % 8]}{i % 7 + 1}+" for i in range(20)),
+    "\n".join(f"def f{i}(a, b={i}):\n    if a[{i}] != b:\n        return {{'k{i}': a * b}}\n    x = g(a, lambda y: y + {i})" for i in range(8)),
+    "\n".join("e|--{0}--{1}---{0}-|\nB|-{1}----{0}--{1}-|\nG|---{0}{1}------|".format(i % 9, i * 7 % 9) for i in range(8)),
+    ">seq1\n" + "\n".join("".join("ACGT"[(i * i + j * 7 + i * j) % 4] for j in range(60)) for i in range(12)),
+    "\n".join(f"<tr class=\"r{i}\"><td>{i * 17}</td><td>&nbsp;</td><td><a href=\"#{i}\">{i}</a></td></tr>" for i in range(15)),
+    "\n".join(f"Miller, J. ........ {555 + i}-{1000 + 37 * i}" for i in range(20)),
+    "\n".join("".join("#" if (i * j) % 3 == 0 else " ." [(i + j) % 2] for j in range(50)) for i in range(12)),
+    "C6H12O6 + 6 O2 -> 6 CO2 + 6 H2O; 2 H2 + O2 -> 2 H2O; Fe2O3 + 3 CO -> 2 Fe + 3 CO2; N2 + 3 H2 -> 2 NH3; CaCO3 -> CaO + CO2",
+    "INSERT INTO t VALUES (1,'a',NULL),(2,'b',3.5),(3,'c',NULL),(4,'d',7.25),(5,'e',NULL),(6,'f',9.0);\n" * 4,
+    "SUBTOTAL 12,40\nVAT 19% 2,36\nTOTAL EUR 14,76\nCARD **** 1234\nAUTH 009812\nTERM 44 TRACE 123\n" * 2,
+    "1 cup flour\n2 eggs\n250 ml milk\n1 pinch salt\n3 tbsp sugar\n20 g butter\n1 lemon\n",
+    "\\frac{a}{b} + \\sum_{i=1}^{n} x_i^2 = \\int_0^1 f(x)\\,dx \\\\ \\alpha \\beta \\gamma \\leq \\sqrt{\\pi} \\cdot \\theta_{k} " * 3,
+]
+
+
+def test_junk_of_kinds_that_no_builder_makes():
+    texts = documents()
+    common = quality.Lexicon(pq.read_table(DATA.replace("documents", "common_word"), columns=["word"]).column(0).to_pylist())
+    model = quality.learn(texts, common)
+    prose = [" ".join(SENTENCES[k][i : i + 4]) for k in ("en", "de", "fr", "es") for i in range(3)]
+    x = quality.statistics([*HELD_OUT, *prose], model.common, model.usage)
+    junk = np.any([r.covers(x) for r in model.rules], axis=0)
+    assert junk[: len(HELD_OUT)].mean() >= 0.8 and junk[len(HELD_OUT) :].mean() <= 0.2
 
 
 def test_rules_are_learned_and_exported(spark):
