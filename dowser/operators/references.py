@@ -1,8 +1,8 @@
 """References to records that do not exist, kept as incremental pending-orphan state.
 
-The state has three keyed tables:
+The state is a folder with three keyed tables, each cut into buckets by the parent's key:
 
-* parents(id, gone, arrivals): when each parent was deleted last, if it was, and the times it came at after that;
+* parents(id, since, gone): a log of the times at which each parent came and was deleted;
 * refs(src_table, row_id, file_id, at): every reference seen;
 * pending(src_table, row_id, file_id, at, resolved_at): references whose parent was not there when they
   came, or was deleted afterwards. `resolved_at` is null while the reference still waits.
@@ -11,64 +11,75 @@ A parent is there from the first time it came after its last deletion, and absen
 time, if it did not come again. So the state depends on what was delivered and not on the order.
 
 `advance` takes one batch of new references, parents and deletions. New references probe the parent index,
-arriving parents resolve waiting orphans, deletions reopen them. All steps are joins on the parent's key, so the
-state is partitioned by it and no key is ever gathered in one task: references are reduced to one row a key
-before the parent index is probed, and the few keys with orphans are salted before they meet the references.
+arriving parents resolve waiting orphans, deletions reopen them. A batch is appended to the first two tables, and only
+the buckets that it touches are read, and written anew in the third, so its cost goes with the batch and the buckets it
+meets. No key is ever gathered in one task: references are reduced to one row a key before the parent index is
+probed, the few keys with orphans are salted before they meet the references, and a bucket that holds a hot key is
+written by many tasks. Every batch is a folder of its own, which counts once its manifest is there: a job that is lost
+midway leaves the state as it was.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.session import cut_lineage
+from dowser.session import Folder, ensure_checkpoint_dir
 
-SALTS = 16
+SALTS, BUCKETS = 16, 8
+#: A bucket whose rows lie in more batches than this is put together by the next batch that touches it.
+MERGE = 8
 
 REFS = "src_table string, row_id bigint, file_id bigint, at timestamp_ntz"
 PARENTS = "id bigint, since timestamp_ntz, gone timestamp_ntz"
-INDEX = "id bigint, gone timestamp_ntz, arrivals array<timestamp_ntz>"
 PENDING = REFS + ", resolved_at timestamp_ntz"
+TABLES = {"refs": REFS, "parents": PARENTS, "pending": PENDING}
+_ALWAYS = "0001-01-01"
+
+
+def _time(at: str) -> Column:
+    return F.coalesce(F.col(at).cast("timestamp_ntz"), F.lit(_ALWAYS).cast("timestamp_ntz"))
 
 
 def references(df: DataFrame, src_table: str, key: str = "id", fk: str = "file_id", at: str = "create_time") -> DataFrame:
     """A table's references in the operator's form. Null references name nothing and are left out; a repeated
     row counts once; a null time counts as the beginning of time, so that any parent is later."""
-    return (
-        df.where(F.col(fk).isNotNull() & F.col(key).isNotNull())
-        .select(
-            F.lit(src_table).alias("src_table"),
-            F.col(key).cast("bigint").alias("row_id"),
-            F.col(fk).cast("bigint").alias("file_id"),
-            F.coalesce(F.col(at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"),
-        )
-    )
+    return df.where(F.col(fk).isNotNull() & F.col(key).isNotNull()).select(
+        F.lit(src_table).alias("src_table"), F.col(key).cast("bigint").alias("row_id"), F.col(fk).cast("bigint").alias("file_id"), _time(at).alias("at"))
 
 
 def parents(df: DataFrame, key: str = "id", at: str = "create_time") -> DataFrame:
-    """Parents by key with the earliest time; several versions of a row are one parent. A null time counts as
-    always there."""
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).cast("bigint").alias("id"))
-        .agg(F.min(F.coalesce(F.col(at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))).alias("since"))
-        .withColumn("gone", F.lit(None).cast("timestamp_ntz"))
-    )
+    """Parents by key with the times they came at, each once. A null time counts as always there."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), _time(at).alias("since"), F.lit(None).cast("timestamp_ntz").alias("gone")).distinct()
+
 
+def deletions(df: DataFrame, key: str = "id", at: str = "ts") -> DataFrame:
+    """Deletions of parents; those without a key or a time are left out, and of one parent's the latest counts."""
+    return df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(F.col(at).cast("timestamp_ntz")).alias("gone"))
 
-def probe(refs: DataFrame, starts: DataFrame) -> DataFrame:
-    """The references whose parent is not there, or was not there at the time: pending rows. starts(id, start): from
+
+def starts(log: DataFrame) -> DataFrame:
+    """(id, start): from when each parent of the log is there; null if it is deleted."""
+    gone = log.where(F.col("gone").isNotNull()).groupBy("id").agg(F.max("gone").alias("gone"))
+    came = log.where(F.col("since").isNotNull()).select("id", "since").join(gone, "id", "left")
+    there = came.select("id", F.when(F.col("gone").isNull() | (F.col("since") > F.col("gone")), F.col("since")).alias("start"))
+    return there.unionByName(gone.select("id", F.lit(None).cast("timestamp_ntz").alias("start"))).groupBy("id").agg(F.min("start").alias("start"))
+
+
+def probe(refs: DataFrame, begun: DataFrame) -> DataFrame:
+    """The references whose parent is not there, or was not there at the time: pending rows. begun(id, start): from
     when each parent is there, null if it is deleted.
 
     `resolved_at` is the parent's time where it came later. Hot keys cost one row each in the probe, since the
     references are pre-aggregated by key; rows meet only the keys found to have orphans, salted by row.
     """
     keys = refs.groupBy("file_id").agg(F.min("at").alias("first_at"))
-    bad = keys.join(starts.select(F.col("id").alias("file_id"), "start"), "file_id", "left").where(
-        F.col("start").isNull() | (F.col("start") > F.col("first_at"))
-    )
+    bad = keys.join(begun.select(F.col("id").alias("file_id"), "start"), "file_id", "left").where(
+        F.col("start").isNull() | (F.col("start") > F.col("first_at")))
     salted = bad.select("file_id", "start", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return (
         refs.withColumn("salt", F.pmod(F.col("row_id"), F.lit(SALTS)).cast("int"))
@@ -78,58 +89,108 @@ def probe(refs: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def starts(index: DataFrame) -> DataFrame:
-    """(id, start): from when each parent of the state's index is there; null if it is deleted."""
-    return index.select("id", F.array_min("arrivals").alias("start"))
-
-
-@dataclass
+@dataclass(frozen=True)
 class OrphanState:
-    """State after some batches. `opened` has the references found to be orphans by the last batch."""
+    """The state after some batches: for each table and bucket the folders that hold its rows. Frozen, so an older
+    state stays readable."""
 
-    parents: DataFrame
-    refs: DataFrame
-    pending: DataFrame
-    opened: DataFrame
+    spark: SparkSession
+    folder: str
+    buckets: int = BUCKETS
+    version: int = 0
+    where: dict[str, dict[int, list[str]]] = field(default_factory=lambda: {t: {} for t in TABLES})
 
     @staticmethod
-    def empty(spark: SparkSession) -> OrphanState:
-        pending = spark.createDataFrame([], PENDING)
-        return OrphanState(spark.createDataFrame([], INDEX), spark.createDataFrame([], REFS), pending, pending)
+    def empty(spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS) -> OrphanState:
+        """A new state in a folder that all executors share; by default one below the checkpoint folder."""
+        return OrphanState(spark, folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/orphans-{uuid.uuid4().hex}", buckets)
 
-    def advance(self, refs: DataFrame | None = None, new_parents: DataFrame | None = None,
-                deleted: DataFrame | None = None, checkpoint: bool = True) -> OrphanState:
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> OrphanState:
+        """The state after the last batch that was finished in a folder."""
+        root = Folder(spark, folder)
+        done = [int(n[1:]) for n in root.names() if n[:1] == "v" and root.at(n).exists("MANIFEST")]
+        if not done:
+            return OrphanState.empty(spark, folder)
+        m = json.loads(root.at(f"v{max(done)}").read("MANIFEST"))
+        return OrphanState(spark, folder, m["buckets"], max(done), {t: {int(b): f for b, f in w.items()} for t, w in m["where"].items()})
+
+    def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table of the state, or some buckets of it."""
+        folders = [f"{f}/bucket={b}" for b, fs in self.where[name].items() if buckets is None or b in buckets for f in fs]
+        return self.spark.read.schema(TABLES[name]).parquet(*folders) if folders else self.spark.createDataFrame([], TABLES[name])
+
+    @property
+    def pending(self) -> DataFrame:
+        return self.table("pending")
+
+    @property
+    def opened(self) -> DataFrame:
+        """The references that the last batch brought and that had no parent then."""
+        folder = f"{self.folder}/v{self.version}/opened"
+        return self.spark.read.schema(PENDING).parquet(folder) if self.version else self.spark.createDataFrame([], PENDING)
+
+    def _write(self, df: DataFrame, key: str, path: str) -> set[int]:
+        """Writes rows by the bucket of their key; the buckets that have any."""
+        bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
+        bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        return {int(n.partition("=")[2]) for n in Folder(self.spark, path).names() if n.startswith("bucket=")}
+
+    def advance(self, refs: DataFrame | None = None, new_parents: DataFrame | None = None, deleted: DataFrame | None = None) -> OrphanState:
         """The state after one more batch. refs: as from references(); new_parents: as from parents();
-        deleted(id, gone): deletions, of which the latest counts; one without a time is left out. With `checkpoint`,
-        lineage is cut each batch.
+        deleted(id, gone): as from deletions().
 
         A parent delivered late, with a time before the reference, withdraws the orphan; one with a later time
-        resolves it at that time. A reference delivered after its parent's deletion waits, whatever its time. A row delivered again changes nothing.
+        resolves it at that time. A reference delivered after its parent's deletion waits, whatever its time. A row
+        delivered again changes nothing; copies of a row are taken to agree.
         """
-        spark = self.parents.sparkSession
-        refs = (refs if refs is not None else spark.createDataFrame([], REFS)).dropDuplicates(["src_table", "row_id"])
-        arrived = new_parents if new_parents is not None else spark.createDataFrame([], PARENTS)
-        left = deleted if deleted is not None else spark.createDataFrame([], "id bigint, gone timestamp_ntz")
-
-        came = arrived.select("id", "gone", F.array_compact(F.array("since")).alias("arrivals"))
-        went = left.where(F.col("gone").isNotNull()).select("id", "gone", F.array().cast("array<timestamp_ntz>").alias("arrivals"))
-        index = (
-            self.parents.unionByName(came).unionByName(went)
-            .groupBy("id").agg(F.max("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("arrivals"))).alias("arrivals"))
-            # a parent that came again after its deletion is there again
-            .withColumn("arrivals", F.filter("arrivals", lambda t: F.col("gone").isNull() | (t > F.col("gone"))))
-        )
-        fresh = refs.join(self.refs.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
-        opened = probe(fresh, starts(index))
-
-        # arriving parents resolve or withdraw the orphans that wait for them, deletions reopen references
-        touched = came.unionByName(went).select(F.col("id").alias("file_id")).distinct()
-        known = self.refs.join(touched, "file_id", "left_semi").select("src_table", "row_id", "file_id", "at")
-        pending = self.pending.join(touched, "file_id", "left_anti").unionByName(probe(known, starts(index))).unionByName(opened)
-        seen = self.refs.unionByName(fresh)
-        if checkpoint:
-            index, seen, pending, opened = map(cut_lineage, (index, seen, pending, opened))
-        return OrphanState(index, seen, pending, opened)
+        at, old = f"{self.folder}/v{self.version + 1}", self.where
+        where = {t: {b: list(f) for b, f in w.items()} for t, w in old.items()}
+
+        def keep(name: str, path: str, touched: set[int], alone: bool = False) -> None:
+            for b in touched:
+                where[name][b] = [path] if alone else [*where[name].get(b, []), path]
+
+        log = self.spark.createDataFrame([], PARENTS)
+        if new_parents is not None:
+            log = log.unionByName(new_parents.select("id", "since", "gone"))
+        if deleted is not None:
+            log = log.unionByName(deleted.where(F.col("gone").isNotNull()).select("id", F.lit(None).cast("timestamp_ntz").alias("since"), "gone"))
+        changed = self._write(log, "id", f"{at}/parents") if new_parents is not None or deleted is not None else set()
+        keep("parents", f"{at}/parents", changed)
+
+        came: set[int] = set()
+        if refs is not None:
+            came = self._write(refs.select("src_table", "row_id", "file_id", "at").dropDuplicates(["src_table", "row_id"]), "file_id", f"{at}/refs")
+            known = {b for b in came if old["refs"].get(b)}
+            if known:  # rows that were seen before are left out
+                new = OrphanState(self.spark, self.folder, self.buckets, 0, {"refs": {b: [f"{at}/refs"] for b in came}}).table("refs")
+                seen = self.table("refs", known).select("src_table", "row_id")
+                came = self._write(new.join(seen, ["src_table", "row_id"], "left_anti"), "file_id", f"{at}/fresh")
+            keep("refs", f"{at}/fresh" if known else f"{at}/refs", came)
+        touched = changed | came
+        now = OrphanState(self.spark, self.folder, self.buckets, self.version + 1, where)
+
+        begun = starts(now.table("parents", touched))
+        fresh = OrphanState(self.spark, self.folder, self.buckets, 0, {"refs": {b: where["refs"][b][-1:] for b in came}}).table("refs")
+        probe(fresh, begun).write.mode("overwrite").parquet(f"{at}/opened")
+        pending = now.opened
+        if old["refs"]:
+            # arriving parents resolve or withdraw the orphans that wait for them, deletions reopen references
+            keys = OrphanState(self.spark, self.folder, self.buckets, 0, {"parents": {b: [f"{at}/parents"] for b in changed}}).table("parents").select(F.col("id").alias("file_id")).distinct()
+            again = self.table("refs", changed).join(keys, "file_id", "left_semi").select("src_table", "row_id", "file_id", "at")
+            pending = self.table("pending", touched).join(keys, "file_id", "left_anti").select(*pending.columns).unionByName(probe(again, begun)).unionByName(pending)
+        left = self._write(pending, "file_id", f"{at}/pending")
+        for b in touched:
+            where["pending"].pop(b, None)
+        keep("pending", f"{at}/pending", left, True)
+
+        for name, key in (("refs", "file_id"), ("parents", "id")):
+            many = {b for b in touched if len(where[name].get(b, [])) > MERGE}
+            if many:
+                keep(name, f"{at}/{name}-merged", self._write(now.table(name, many).distinct(), key, f"{at}/{name}-merged"), True)
+        Folder(self.spark, at).write("MANIFEST", json.dumps({"buckets": self.buckets, "where": where}))
+        return now
 
     def snapshot(self, period: str = "month", waiting_only: bool = False) -> DataFrame:
         return snapshot(self.pending, period, waiting_only)
@@ -144,8 +205,21 @@ def snapshot(pending: DataFrame, period: str = "month", waiting_only: bool = Fal
     )
 
 
-def first_batch(refs: DataFrame, new_parents: DataFrame) -> DataFrame:
-    """The orphans that `advance` opens from an empty state, without the state's other tables: all references
-    of the history in one batch. Repeated rows count once."""
-    there = F.when(F.col("gone").isNull() | (F.col("since") > F.col("gone")), F.col("since"))
-    return probe(refs, new_parents.select("id", there.alias("start"))).dropDuplicates(["src_table", "row_id"])
+def replay(state: OrphanState, refs: DataFrame, new_parents: DataFrame, deleted: DataFrame | None = None, batches: int = 3) -> OrphanState:
+    """The state after a whole history, delivered in batches by the rows' times: equal spans between the first and the
+    last time of a reference."""
+    first, last = refs.agg(F.min("at"), F.max("at")).first()
+    if first is None or batches < 2:
+        return state.advance(refs, new_parents, deleted)
+    bounds = [None, *(first + (last - first) * k / batches for k in range(1, batches)), None]
+
+    def between(df: DataFrame | None, at: str, a: object, b: object) -> DataFrame | None:
+        if df is None:
+            return None
+        if a is not None:
+            df = df.where(F.col(at) >= F.lit(a).cast("timestamp_ntz"))
+        return df if b is None else df.where(F.col(at) < F.lit(b).cast("timestamp_ntz"))
+
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        state = state.advance(between(refs, "at", a, b), between(new_parents, "since", a, b), between(deleted, "gone", a, b))
+    return state

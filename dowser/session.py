@@ -28,16 +28,64 @@ def session(name: str = "dowser", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A machine-local one is set only where the cluster names none."""
+    """The folder that all executors share, from spark.checkpoint.dir. A machine-local one is set only in local mode,
+    where all executors are on this machine."""
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="dowser-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
+class Folder:
+    """Small files and names in a folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, str(path)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str) -> Folder:
+        return Folder(self.spark, f"{self.path.rstrip('/')}/{name}")
+
+    def _of(self, name: str):
+        return self.at(name)._path if name else self._path
+
+    def exists(self, name: str = "") -> bool:
+        return self._fs.exists(self._of(name))
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path)) if self.exists() else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._of(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str, replace: bool = True) -> bool:
+        """Written under another name and then renamed, so that it is there whole or not at all. Without `replace`,
+        false if it is there already."""
+        part = self._of(f".{name}.{uuid.uuid4().hex}")
+        stream = self._fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if replace and self.exists(name):
+            self._fs.delete(self._of(name), False)
+        done = not self.exists(name) and self._fs.rename(part, self._of(name))
+        if not done:
+            self._fs.delete(part, False)
+        return done
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self._of(name), True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -53,8 +101,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     def remove() -> None:
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            Folder(spark, folder).delete()
         except Exception:  # the session has ended
             pass
 

@@ -56,8 +56,10 @@ def test_orphans_in_batches_as_at_once(spark, seed):
     s = references.OrphanState.empty(spark)
     for k in range(3):
         s = s.advance(refs(spark, r[20 * k : 20 * k + 20]), parents(spark, p[k::3]))
-    at_once = references.first_batch(refs(spark, r), parents(spark, p))
-    assert found(s.pending) == found(at_once)
+    at_once = references.OrphanState.empty(spark).advance(refs(spark, r), parents(spark, p)).pending
+    assert found(s.pending) == found(at_once) == found(references.OrphanState.load(spark, s.folder).pending)
+    replayed = references.replay(references.OrphanState.empty(spark, buckets=3), refs(spark, r), parents(spark, p), batches=4)
+    assert found(replayed.pending) == found(at_once)
     since = dict(p)
     assert [i for i, _ in found(at_once)] == sorted(i for i, f, h in r if f not in since or since[f] > h)
 
@@ -96,10 +98,23 @@ def test_orphans_with_deletions_in_any_order(spark, seed):
 
 def test_orphans_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None, at(1), 0), (2, 5, None, 0), (2, 5, None, 0), (None, 5, at(1), 0)], "id bigint, file_id bigint, create_time timestamp_ntz, since int")
-    got = references.first_batch(references.references(df, "t"), parents(spark, [(5, 0)]))
+    state = references.OrphanState.empty(spark)
+    got = references.replay(state, references.references(df, "t"), parents(spark, [(5, 0)])).pending
     assert [(r.src_table, r.row_id) for r in got.collect()] == [("t", 2)]
-    empty = references.first_batch(references.references(df.limit(0), "t"), references.parents(df.limit(0)))
-    assert empty.collect() == []
+    empty = references.replay(state, references.references(df.limit(0), "t"), references.parents(df.limit(0)))
+    assert empty.pending.collect() == [] == empty.snapshot().collect()
+
+
+def test_orphan_state_is_appended_and_put_together(spark):
+    s, folder = references.OrphanState.empty(spark, buckets=2), None
+    for k in range(references.MERGE + 2):
+        s = s.advance(refs(spark, [(k, k % 3, k)]), parents(spark, [(k % 3, 40 + k)]))
+        folder = s.folder
+    assert max(len(f) for w in (s.where["refs"], s.where["parents"]) for f in w.values()) <= references.MERGE + 1
+    assert found(s.pending) == [(k, 40 + k % 3) for k in range(references.MERGE + 2)]
+    half = references.Folder(spark, folder).at(f"v{s.version + 1}")  # a batch that was lost midway does not count
+    half.write("anything", "x")
+    assert references.OrphanState.load(spark, folder).version == s.version
 
 
 def one(spark, column, **row):
