@@ -12,8 +12,8 @@ time, if it did not come again. So the state depends on what was delivered and n
 
 `advance` takes one batch of new references, parents and deletions. New references probe the parent index,
 arriving parents resolve waiting orphans, deletions reopen them. A batch is appended to the first two tables, and only
-the buckets that it touches are read, and written anew in the third, so its cost goes with the batch and the buckets it
-meets. No key is ever gathered in one task: references are reduced to one row a key before the parent index is
+the buckets that it touches are read, and written anew in the third where parents changed, so its cost goes with the batch
+and the buckets it meets. No key is ever gathered in one task: references are reduced to one row a key before the parent index is
 probed, the few keys with orphans are salted before they meet the references, and a bucket that holds a hot key is
 written by many tasks. Every batch is a folder of its own, which counts once its manifest is there: a job that is lost
 midway leaves the state as it was.
@@ -128,12 +128,19 @@ class OrphanState:
     def opened(self) -> DataFrame:
         """The references that the last batch brought and that had no parent then."""
         folder = f"{self.folder}/v{self.version}/opened"
-        return self.spark.read.schema(PENDING).parquet(folder) if self.version else self.spark.createDataFrame([], PENDING)
+        names = Folder(self.spark, folder).names()
+        return self._part("pending", folder, {int(n.partition("=")[2]) for n in names if n.startswith("bucket=")})
+
+    def _part(self, name: str, folder: str, buckets: set[int]) -> DataFrame:
+        """Some buckets of one batch's folder."""
+        return OrphanState(self.spark, self.folder, self.buckets, 0, {name: {b: [folder] for b in buckets}}).table(name)
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def _write(self, df: DataFrame, key: str, path: str) -> set[int]:
         """Writes rows by the bucket of their key; the buckets that have any."""
-        bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
-        bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        df.withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
         return {int(n.partition("=")[2]) for n in Folder(self.spark, path).names() if n.startswith("bucket=")}
 
     def advance(self, refs: DataFrame | None = None, new_parents: DataFrame | None = None, deleted: DataFrame | None = None) -> OrphanState:
@@ -161,31 +168,29 @@ class OrphanState:
 
         came: set[int] = set()
         if refs is not None:
-            came = self._write(refs.select("src_table", "row_id", "file_id", "at").dropDuplicates(["src_table", "row_id"]), "file_id", f"{at}/refs")
-            known = {b for b in came if old["refs"].get(b)}
-            if known:  # rows that were seen before are left out
-                new = OrphanState(self.spark, self.folder, self.buckets, 0, {"refs": {b: [f"{at}/refs"] for b in came}}).table("refs")
-                seen = self.table("refs", known).select("src_table", "row_id")
-                came = self._write(new.join(seen, ["src_table", "row_id"], "left_anti"), "file_id", f"{at}/fresh")
-            keep("refs", f"{at}/fresh" if known else f"{at}/refs", came)
-        touched = changed | came
+            new = refs.select("src_table", "row_id", "file_id", "at").dropDuplicates(["src_table", "row_id"])
+            if old["refs"]:  # rows that were seen before are left out; at most as many numbers as buckets go to the driver
+                known = {r.b for r in refs.select(self._bucket("file_id").alias("b")).distinct().collect()}
+                new = new.join(self.table("refs", known).select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
+            came = self._write(new, "file_id", f"{at}/refs")
+            keep("refs", f"{at}/refs", came)
         now = OrphanState(self.spark, self.folder, self.buckets, self.version + 1, where)
+        begun = starts(now.table("parents", changed | came))
 
-        begun = starts(now.table("parents", touched))
-        fresh = OrphanState(self.spark, self.folder, self.buckets, 0, {"refs": {b: where["refs"][b][-1:] for b in came}}).table("refs")
-        probe(fresh, begun).write.mode("overwrite").parquet(f"{at}/opened")
-        pending = now.opened
-        if old["refs"]:
+        if changed and old["refs"]:
             # arriving parents resolve or withdraw the orphans that wait for them, deletions reopen references
-            keys = OrphanState(self.spark, self.folder, self.buckets, 0, {"parents": {b: [f"{at}/parents"] for b in changed}}).table("parents").select(F.col("id").alias("file_id")).distinct()
+            keys = self._part("parents", f"{at}/parents", changed).select(F.col("id").alias("file_id")).distinct()
             again = self.table("refs", changed).join(keys, "file_id", "left_semi").select("src_table", "row_id", "file_id", "at")
-            pending = self.table("pending", touched).join(keys, "file_id", "left_anti").select(*pending.columns).unionByName(probe(again, begun)).unionByName(pending)
-        left = self._write(pending, "file_id", f"{at}/pending")
-        for b in touched:
-            where["pending"].pop(b, None)
-        keep("pending", f"{at}/pending", left, True)
+            still = self.table("pending", changed).join(keys, "file_id", "left_anti").select("src_table", "row_id", "file_id", "at", "resolved_at")
+            left = self._write(still.unionByName(probe(again, begun)), "file_id", f"{at}/pending")
+            for b in changed:
+                where["pending"].pop(b, None)
+            keep("pending", f"{at}/pending", left, True)
+        opened = self._write(probe(self._part("refs", f"{at}/refs", came), begun), "file_id", f"{at}/opened") if came else set()
+        keep("pending", f"{at}/opened", opened)
 
-        for name, key in (("refs", "file_id"), ("parents", "id")):
+        touched = changed | came
+        for name, key in (("refs", "file_id"), ("parents", "id"), ("pending", "file_id")):
             many = {b for b in touched if len(where[name].get(b, [])) > MERGE}
             if many:
                 keep(name, f"{at}/{name}-merged", self._write(now.table(name, many).distinct(), key, f"{at}/{name}-merged"), True)
@@ -205,7 +210,7 @@ def snapshot(pending: DataFrame, period: str = "month", waiting_only: bool = Fal
     )
 
 
-def replay(state: OrphanState, refs: DataFrame, new_parents: DataFrame, deleted: DataFrame | None = None, batches: int = 3) -> OrphanState:
+def replay(state: OrphanState, refs: DataFrame, new_parents: DataFrame, deleted: DataFrame | None = None, batches: int = 2) -> OrphanState:
     """The state after a whole history, delivered in batches by the rows' times: equal spans between the first and the
     last time of a reference."""
     first, last = refs.agg(F.min("at"), F.max("at")).first()
