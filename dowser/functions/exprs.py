@@ -174,8 +174,9 @@ def metadata_text(m: Column | str) -> Column:
 
 
 def search_intent(query: Column | str) -> Column:
-    """'path', 'hybrid' or 'semantic'. The order of the tests matters; the length is in bytes."""
-    q = F.trim(_col(query))
+    """'path', 'hybrid' or 'semantic'. The order of the tests matters; the length is in bytes, without white space at
+    the ends."""
+    q = F.regexp_replace(_col(query), r"(?U)^\s+|\s+\z", "")
     words = F.size(F.filter(F.split(q, r"(?U)\s+"), lambda w: w != ""))
     hybrid = reduce(lambda a, w: a | q.contains(w), HYBRID_WORDS, F.lit(False))
     return (F.when(q.rlike(r"[\\/*.]"), "path").when(words <= 2, "path").when(hybrid, "hybrid").when(F.octet_length(q) > 20, "semantic").otherwise("hybrid"))

@@ -64,6 +64,20 @@ def sorted_page(df: DataFrame, column: str, ascending: bool, number: int, size:
     return page(df, number, size, F.asc_nulls_first(column) if ascending else F.desc_nulls_last(column), F.asc(key))
 
 
+def path_page(files: DataFrame, number: int, size: int, ascending: bool = True) -> DataFrame:
+    """A page of the paths alone, in the order of ids."""
+    return page(files.select("id", "path"), number, size, F.asc("id") if ascending else F.desc("id")).select("path")
+
+
+def model_by_name(models: DataFrame, name: str, platform: str) -> Row | None:
+    return lookup(models.where(F.col("platform") == platform), "name", name)
+
+
+def by_names(df: DataFrame, names: Sequence[str] | None, column: str = "name") -> DataFrame:
+    """The rows with one of the names; None: all of them; no names, no rows."""
+    return df if names is None else df.where(F.col(column).isin(*names) if names else F.lit(False))
+
+
 def model_by_type(models: DataFrame, kind: str, platform: str) -> DataFrame:
     """The first enabled model of a platform that lists the type among its own."""
     return models.where(F.col("model_types").contains(kind) & (F.col("platform") == platform) & F.col("is_enable")).orderBy("id").limit(1)
@@ -179,21 +193,29 @@ def below(files: DataFrame, directories: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.max_by("directory", F.length("directory")).alias("directory"))
 
 
+def removed_ids(files: DataFrame, removed: DataFrame) -> DataFrame:
+    """(id) of the removed(path, is_file) files, and of all that is below removed directories."""
+    same = files.join(removed.select("path").distinct(), "path", "left_semi").select("id")
+    return same.unionByName(below(files, removed.where(~F.coalesce("is_file", F.lit(True)))).select("id")).distinct()
+
+
 def apply_removals(files: DataFrame, content: DataFrame, meta: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the removed(path, is_file) files, and without all that is below removed directories."""
-    same = files.join(removed.select("path").distinct(), "path", "left_semi").select("id")
-    gone = same.unionByName(below(files, removed.where(~F.coalesce("is_file", F.lit(True)))).select("id")).distinct()
+    gone = removed_ids(files, removed)
     owner = gone.select(F.col("id").alias("file_id"))
     return (files.join(gone, "id", "left_anti").select(*files.columns), *(t.join(owner, "file_id", "left_anti").select(*t.columns) for t in (content, meta)))
 
 
-def apply_renames(files: DataFrame, renamed: DataFrame) -> DataFrame:
-    """Files with the renamed(path, to_path) applied: to the file itself, or else to what is below a directory, in whose
-    paths every occurrence of the old one is replaced."""
-    to = renamed.where(F.col("to_path").isNotNull()).groupBy("path").agg(F.min("to_path").alias("to_path"))
-    own = files.join(to.withColumnRenamed("to_path", "_own"), "path", "left")
-    moved = below(files, to).join(to.select(F.col("path").alias("directory"), F.col("to_path").alias("_to")), "directory").select("id", F.col("directory").alias("_from"), "_to")
-    both = own.join(moved, "id", "left")
-    path = F.coalesce("_own", F.when(F.col("_from").isNotNull(), F.replace(F.col("path"), F.col("_from"), F.col("_to"))), "path")
-    return both.withColumn("_new", path).select(*(F.col("_new").alias("path") if c == "path" else F.when(F.col("_own").isNotNull(), X.file_name("_own")).otherwise(F.col("name")).alias("name")
-                                                  if c == "name" else F.col(c) for c in files.columns))
+def renamed(files: DataFrame, renames: DataFrame) -> DataFrame:
+    """(id, path, name) of the files that renames(path, to_path) move: the file itself, or else what is below a
+    directory, in whose paths every occurrence of the old one is replaced and whose names stay."""
+    to = renames.where(F.col("to_path").isNotNull()).groupBy("path").agg(F.min("to_path").alias("to_path"))
+    own = files.select("id", "path").join(to, "path").select("id", F.col("to_path").alias("path"), X.file_name("to_path").alias("name"))
+    moved = below(files, to).join(to.select(F.col("path").alias("directory"), "to_path"), "directory")
+    within = moved.join(files.select("id", "path", "name"), "id").select("id", F.replace(F.col("path"), F.col("directory"), F.col("to_path")).alias("path"), "name")
+    return own.unionByName(within.join(own.select("id"), "id", "left_anti"))
+
+
+def apply_renames(files: DataFrame, renames: DataFrame) -> DataFrame:
+    """Files with the renames applied."""
+    return overlay(files, renamed(files, renames))

@@ -99,6 +99,13 @@ def knn_no_threshold(spark, d):
     return search.knn(_vectors(spark, d, "file_content_embedding"), query_vector(spark, d), most=-1)
 
 
+@query("knn_384", _with("e", f", {_QUERY} select file_id, id, {_DISTANCE} as distance from e, q where {_USABLE} order by 3, 2 limit 10"))
+def knn_384(spark, d):
+    """Vectors of 384 numbers: each vector six times over, which leaves its angles as they are."""
+    wide = _vectors(spark, d, "file_content_embedding").where(F.size("embedding") == _DIM).withColumn("embedding", F.flatten(F.array_repeat("embedding", 6)))
+    return search.knn(wide, query_vector(spark, d) * 6, most=-1)
+
+
 @query("merge_content_meta", _with("em", f", {_QUERY}, {_KNN.format(k=_K)}, {_MERGE.format(cut=_CUT)} select file_id, distance, chunks as matched_chunk_ids from merged"))
 def merge_content_meta(spark, d):
     q = query_vector(spark, d)
@@ -137,7 +144,7 @@ def _path_sql(words: list[str], limit: int = 20) -> str:
 def _path_query(name: str, words: list[str]) -> None:
     @query(name, _with("f", f", {_LINES}, {_path_sql(words)} select * from found"))
     def run(spark, d):
-        return search.path_search(search.path_cache(files(spark, d, "path")), " ".join(words))
+        return search.path_search_files(files(spark, d, "path"), " ".join(words))
 
 
 _path_query("path_search_single", ["report"])
@@ -152,7 +159,7 @@ def _fusion(mode: str):
         semantic = semantic_search(spark, d).select("score", "path", "matched_chunk_ids")
         # of several ids with one path the nearest counts
         semantic = semantic.groupBy("path").agg(F.min(F.struct("score", "matched_chunk_ids")).alias("s")).select("path", "s.*")
-        paths = search.path_search(search.path_cache(files(spark, d, "path")), " ".join(_HYBRID))
+        paths = search.path_search_files(files(spark, d, "path"), " ".join(_HYBRID))
         paths = paths.groupBy("path").agg(F.max(F.struct("score", "matched_keywords")).alias("p")).select("path", "p.*")
         return search.fuse(paths, semantic, mode)
 
@@ -184,20 +191,24 @@ def path_cache_remove_dir(spark, d):
 _SINCE = "2024-01-01 00:00:00"
 
 
-@query("path_cache_refresh", _with("f", f", old as (select path from f where coalesce(path, '') <> '' and id % 2 = 0) select path from old union all (select distinct path from f where update_time > timestamp '{_SINCE}' and coalesce(path, '') <> '' and path not in (select path from old))"))
+@query("path_cache_refresh", _with("f", f", old as (select path from f where coalesce(path, '') <> '' and update_time <= timestamp '{_SINCE}') select path from old union all (select distinct path from f where update_time > timestamp '{_SINCE}' and coalesce(path, '') <> '' and path not in (select path from old))"))
 def path_cache_refresh(spark, d):
-    every = files(spark, d, "path", "update_time")
-    return search.refresh_cache(every.where("coalesce(path, '') <> '' and id % 2 = 0"), every, F.lit(_SINCE).cast("timestamp_ntz"))
+    """The cache of what was there at a time, and what was updated since."""
+    every, since = files(spark, d, "path", "update_time"), F.lit(_SINCE).cast("timestamp_ntz")
+    return search.refresh_cache(search.path_cache(every.where(F.col("update_time") <= since)), every, since).select("path")
+
+
+_BLANK = "[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
 
-@query("detect_intent", """select doc_id, case when regexp_matches(q, '[\\\\/*.]') then 'path' when w <= 2 then 'path'
+@query("detect_intent", f"""select doc_id, case when regexp_matches(q, '[\\\\/*.]') then 'path' when w <= 2 then 'path'
   when contains(q, 'about') or contains(q, 'related') or contains(q, 'that') or contains(q, 'which') or contains(q, 'where') or contains(q, 'notes') or contains(q, 'document') then 'hybrid'
   when strlen(q) > 20 then 'semantic' else 'hybrid' end as intent
-  from (select doc_id, q, len(list_filter(regexp_split_to_array(q, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) as w
-    from (select doc_id, trim(regexp_extract(text, '^[ -~]*')) as q from documents where text is not null))""")
+  from (select doc_id, q, len(list_filter(regexp_split_to_array(q, '{_BLANK}'), lambda x: x <> '')) as w
+    from (select doc_id, regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') as q from documents where text is not null))""")
 def detect_intent(spark, d):
-    """The intent of every document's first line of plain characters, taken as a query."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", X.search_intent(F.regexp_extract("text", "^[ -~]*", 0)).alias("intent"))
+    """The intent of every document's whole text, taken as a query."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.search_intent("text").alias("intent"))
 
 
 @query("highlight_path", _with("f", " select id, regexp_replace(regexp_replace(path, '(?i)(doc)', '<b>\\1</b>', 'g'), '(?i)(\\Q.\\E)', '<b>\\1</b>', 'g') as path from f where path is not null"))
@@ -431,15 +442,15 @@ def set_status(spark, d):
     return R.set_status(files(spark, d, "content_index_status", "content_index_status_msg"), [7, 11, 12], content=S.INDEXED).select("id", "content_index_status")
 
 
-@query("upsert_classify", _with("f", """, s as (select path, max(file_update_time + (id % 3 - 1) * interval 1 hour) as modified from (select id, path, file_update_time from f where path is not null and id % 2 = 0
-  union all select id, path || '.new', file_update_time from f where path is not null and id % 7 = 0) group by path),
+@query("upsert_classify", _with("f", """, s as (select path, max(file_update_time + (id % 3 - 1) * interval 1 hour) as modified from (select id, path, file_update_time from f where path is not null
+  union all select id, path || '.new', file_update_time from f where path is not null) group by path),
   k as (select path, arg_max(id, (file_update_time, id)) as id, arg_max(content_index_status, (file_update_time, id)) as st, max(file_update_time) as fu from f group by path)
   select s.path, k.id, case when k.path is null then 'new' when k.st = 3 and k.fu >= s.modified then 'skip' else 'update' end as action from s left join k on s.path = k.path"""))
 def upsert_classify(spark, d):
-    """A scan of all files with an even id, some earlier and some later than stored, and of new paths."""
+    """A scan of all files, some earlier and some later than stored, and of a new path beside each."""
     f = files(spark, d, "path", "file_update_time", "content_index_status")
     some = f.where("path is not null")
-    scan = some.where("id % 2 = 0").select("id", "path", "file_update_time").unionByName(some.where("id % 7 = 0").select("id", F.concat("path", F.lit(".new")).alias("path"), "file_update_time"))
+    scan = some.select("id", "path", "file_update_time").unionByName(some.select("id", F.concat("path", F.lit(".new")).alias("path"), "file_update_time"))
     return R.upsert_plan(scan.select("path", F.expr("file_update_time + make_interval(0, 0, 0, 0, cast(id % 3 - 1 as int), 0, 0)").alias("modified")), f)
 
 

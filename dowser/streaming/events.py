@@ -54,21 +54,11 @@ def session_starts(events: DataFrame, span: F.Column, *by: str, inclusive: bool
 
 def sessions(events: DataFrame, gap: str = GAP) -> DataFrame:
     """(session_start, path, event_id, ts, kind, to_path, is_file, events): the strongest event of each path in each
-    session; a session ends when no event at all, of any path, came for `gap`. A batch twin of debounced()."""
+    session; a session ends when no event at all, of any path, came for `gap`."""
     placed = session_starts(events, F.expr(f"interval {gap}"))
     return strongest(normalised(events).join(placed, "ts"), "session_start")
 
 
-def debounced(stream: DataFrame, gap: str = GAP, watermark: str = WATERMARK) -> DataFrame:
-    """A stream of sessions with the events of each: one global session window; the strongest event of each path is
-    taken when the session closes. Later events than the watermark allows are dropped."""
-    live = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    rows = F.collect_list(F.struct("event_id", "ts", "kind", "path", "to_path", "is_file"))
-    # a stream's session window must have a key beside it, so all events get the same one
-    live = live.withColumn("watcher", F.coalesce(F.col("event_id") * 0, F.lit(0)))
-    return live.groupBy("watcher", F.session_window("ts", gap).alias("w")).agg(rows.alias("events")).select(F.col("w.start").alias("session_start"), "events")
-
-
 def split_by_bound(events: DataFrame, before: datetime | None, bound: datetime | None, gap: str = GAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(late, closed, open): events whose session had to be closed by the earlier bound `before`, or that have no time;
     events of sessions that end by `bound`; and the rest. Every event is in one of the three."""
@@ -82,10 +72,17 @@ def split_by_bound(events: DataFrame, before: datetime | None, bound: datetime |
     return events.where(behind), marked.where("over").select(*events.columns), marked.where("not over").select(*events.columns)
 
 
-def flush(batch: DataFrame) -> DataFrame:
-    """What a batch of debounced() does to the index: one event for each session and path."""
-    flat = batch.select("session_start", F.explode("events").alias("e")).select("session_start", "e.*")
-    return strongest(normalised(flat).join(flat.select("event_id", "session_start"), "event_id"), "session_start")
+def thinned(events: DataFrame, gap: str = GAP) -> DataFrame:
+    """Fewer events that make the same sessions() with any that come later: of each session and path the strongest, and
+    the first and last time within each stretch of `gap`, as an event without a path. So what is kept of a session
+    goes with its paths and its length, not with its traffic."""
+    span = pd.Timedelta(gap).total_seconds()
+    best = strongest(normalised(events).join(session_starts(events, F.expr(f"interval {gap}")), "ts"), "session_start")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    spine = events.groupBy(F.floor(micros / (span * 1_000_000)).alias("b")).agg(F.min_by("event_id", "ts").alias("i"), F.min("ts").alias("a"), F.max_by("event_id", "ts").alias("j"), F.max("ts").alias("z"))
+    times = spine.select(F.explode(F.array(F.struct(F.col("i").alias("event_id"), F.col("a").alias("ts")), F.struct(F.col("j").alias("event_id"), F.col("z").alias("ts")))).alias("t")).select("t.*").distinct()
+    none = {"kind": F.lit("other"), "path": F.lit(None).cast("string"), "to_path": F.lit(None).cast("string"), "is_file": F.lit(None).cast("boolean")}
+    return best.select("event_id", "ts", "kind", "path", "to_path", "is_file").unionByName(times.withColumns(none))
 
 
 def pair_renames(events: pd.DataFrame, window: float = RENAME_WINDOW, pending: list | None = None) -> tuple[pd.DataFrame, list]:

@@ -10,10 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dowser import schemas as S
-from dowser.api import Engine
+from dowser.api import Engine, Setting
 from dowser.functions import exprs as X
 from dowser.operators import pipeline, references, relational, search
 from dowser.sources import extract
+from dowser.store import Change, ConcurrentChangeError
 from dowser.streaming import events as EV
 
 T0 = datetime(2024, 1, 1)
@@ -253,17 +254,20 @@ def test_sessions_are_global(spark):
     assert EV.sessions(df.limit(0)).collect() == []
 
 
-def test_debounced_stream_as_batch(spark, tmp_path):
-    df = events(spark, [(0, "modify", "/a"), (0.5, "remove", "/a"), (3, "create", "/b"), (60, "modify", "/z")])
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = EV.debounced(stream).writeStream.format("memory").queryName("debounced").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    got = {(r.path, r.kind) for r in EV.flush(spark.table("debounced")).collect()}
-    assert got == {("/a", "remove"), ("/b", "create")}  # the last session is still open
+def test_thinned_events_make_the_same_sessions(spark):
+    rng = np.random.default_rng(5)
+    t, rows = 0.0, []
+    for i in range(3000):
+        t += float(rng.choice([0.001, 0.2, 0.999, 1.0, 1.5], p=[0.6, 0.2, 0.15, 0.03, 0.02]))
+        rows.append((t, str(rng.choice(["create", "modify", "remove", "other"])), f"/p{int(rng.integers(5))}"))
+    df = events(spark, rows).drop("arrive_time").select("event_id", "ts", "kind", "path", "to_path", "is_file")
+    mine = lambda d: sorted((r.session_start, r.path, r.kind, r.event_id) for r in EV.sessions(d).collect())
+    old, new = df.where("event_id < 1500"), df.where("event_id >= 1500")
+    assert mine(EV.thinned(old).unionByName(new)) == mine(df)
+    # steady traffic: what is kept goes with the seconds and the paths, not with the events
+    steady = spark.range(100_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id / 5000.0)").alias("ts"), F.lit("modify").alias("kind"),
+                                         F.concat(F.lit("/p"), (F.col("id") % 7).cast("string")).alias("path"), F.lit(None).cast("string").alias("to_path"), F.lit(True).alias("is_file"))
+    assert EV.thinned(steady).count() <= 2 * 21 + 7 and EV.sessions(EV.thinned(steady)).count() == 7
 
 
 def test_rename_pairing():
@@ -293,41 +297,108 @@ def test_engine_end_to_end(spark, tmp_path):
     (root / ".hidden").mkdir(parents=True)
     (root / "notes.txt").write_text("the quarterly budget meeting\r\n\r\nwas moved to friday")
     (root / "plan.md").write_text("garden plan with roses")
+    (root / "empty.txt").write_text("")
     (root / "photo.png").write_bytes(b"\x89PNG")
     (root / ".hidden" / "x.txt").write_text("no")
     (root / "skip.bin").write_bytes(b"0")
-    e = Engine(spark, str(tmp_path / "index"))
+    steps = []
+    e = Engine(spark, str(tmp_path / "index"), buckets=2, on_progress=lambda step, known: steps.append(step))
     task = e.index([str(root), str(tmp_path / "missing")], ignore_exts=["bin"])
-    assert (task.status, task.total_cnt, task.content_indexed_success_cnt, task.content_indexed_skipped_cnt) == ("completed", 3, 3, 1)
-    assert {r.name for r in e.files().collect()} == {"notes.txt", "plan.md", "photo.png"}
+    assert (task.status, task.total_cnt, task.content_indexed_success_cnt, task.content_indexed_skipped_cnt) == ("completed", 4, 3, 1)
+    assert steps == ["start", "scan", "extract", "embed", "finish"]
+    assert {r.name: r.content_index_status for r in e.files().collect()} == {"notes.txt": 3, "plan.md": 3, "empty.txt": 3, "photo.png": 1}
+    assert e.counts().asDict() == {"total": 4, "waiting": 1, "indexing": 0, "indexed": 3, "failed": 0}
     assert e.semantic_search("the quarterly budget meeting was moved to friday", most=-1).first().path.endswith("notes.txt")
     assert [r.path.rsplit("/", 1)[1] for r in e.path_search("PLAN").collect()] == ["plan.md"]
     assert e.ask("/plan").count() == 1 and e.ask("x").count() == 0 and e.search("plan").count() == 1
+    assert [r.path for r in e.paths(1, 2, False).collect()] == [r.path for r in e.paths(1, 9).collect()][::-1][:2]
     note = e.store.read("file_info").where("name = 'notes.txt'").first()
     assert note.content == "the quarterly budget meeting\nwas moved to friday" and e.file(note.id).name == "notes.txt" and e.file(0) is None
+    assert e.data(note.path) == (root / "notes.txt").read_bytes() and e.data(str(root / "none.txt")) is None
+    assert e.path_type(note.path) == "file" and e.path_type(str(root)) == "directory"
+    with pytest.raises(FileNotFoundError):
+        e.path_type(str(root / "none"))
+    assert e.stored_metadata(note.path).category == S.DOCUMENT
+    # the path is in the index's cache: new files join it, vanished ones leave; nothing else is done again
+    (root / "new plan.txt").write_text("later")
+    (root / "empty.txt").unlink()
+    steps.clear()
     again = e.index([str(root)], ignore_exts=["bin"])
-    assert again.total_cnt == 3 and e.tasks().count() == 2 and not e.model_changed()
+    assert again.total_cnt == 4 and e.tasks().count() == 2 and not e.model_changed()
+    assert {r.name for r in e.files().collect()} == {"notes.txt", "plan.md", "new plan.txt", "photo.png"}
+    assert {r.path.rsplit("/", 1)[1] for r in e.path_search("PLAN").collect()} == {"plan.md", "new plan.txt"} and e.path_search("empty").count() == 0
     e.apply_events(spark.createDataFrame([(str(root / "plan.md"), "rename", str(root / "plant.md"), True), (str(root / "notes.txt"), "remove", None, True)], "path string, kind string, to_path string, is_file boolean"))
-    assert {r.name for r in e.files().collect()} == {"plant.md", "photo.png"}
+    assert {r.name for r in e.files().collect()} == {"plant.md", "new plan.txt", "photo.png"}
+    assert {r.path.rsplit("/", 1)[1] for r in e.path_search("plan").collect()} == {"plant.md", "new plan.txt"}
     assert e.store.read("file_content_embedding").where(F.col("file_id") == note.id).count() == 0
+    e.delete_task(1)
+    assert [r.id for r in e.tasks().collect()] == [2]
     e.clear()
-    assert e.files().count() == 0
-
-
-def test_engine_watches_events(spark, tmp_path):
-    (tmp_path / "docs").mkdir()
-    for name in ("a.txt", "b.txt"):
-        (tmp_path / "docs" / name).write_text(name)
-    e = Engine(spark, str(tmp_path / "index"))
-    e.index([str(tmp_path / "docs")])
-    log = [(1, at(0), "remove", str(tmp_path / "docs" / "a.txt"), None, True, at(0)), (2, at(1), "other", None, None, None, at(1))]
-    spark.createDataFrame(log, S.FILE_EVENT).coalesce(1).write.parquet(str(tmp_path / "log"))
-    q = e.watch(str(tmp_path / "log"), str(tmp_path / "checkpoint"))
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert [r.name for r in e.files().collect()] == ["b.txt"]
+    assert e.files().count() == 0 == e.path_search("plan").count()
+
+
+def test_engine_roots_settings_and_failures(spark, tmp_path):
+    for name in ("a/one.txt", "b/two.txt", "b/bad.txt", "b/photo.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+
+    def embed(texts):
+        out = pipeline.hashing_embedder()(texts)
+        with (tmp_path / "calls").open("a") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        if any("bad.txt" in t for t in texts):
+            raise ValueError("bad")
+        return out
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    e = Engine(spark, str(tmp_path / "index"), embed, buckets=2, analysers={"png": lambda data, most: "a picture of " + data.decode()})
+    e.set_settings([Setting(a, keep=()), Setting(b, keep=(S.IMAGE,)), Setting(str(tmp_path / "p"), private=True)])
+    assert [s.root for s in e.settings()] == [a, b, str(tmp_path / "p")]
+    e.index([a])
+    stored = e.store.read("file_info").select("id", F.lit(S.WAITING).alias("content_index_status"))
+    e.store.commit({"file_info": Change(relational.overlay(e.store.read("file_info"), stored))})
+    e.index([b])  # what waits elsewhere keeps waiting, with its chunks
+    rows = {r.name: r for r in e.files().collect()}
+    assert rows["one.txt"].content_index_status == S.WAITING and rows["one.txt"].content == ""
+    assert e.store.read("file_content_embedding").where(F.col("file_id") == rows["one.txt"].id).count() == 1
+    assert (rows["two.txt"].content, rows["photo.png"].content) == ("", "a picture of b/photo.png")
+    bad = rows["bad.txt"]
+    assert (bad.content_index_status, bad.content_index_status_msg, bad.meta_index_status, bad.meta_index_status_msg) == (S.FAILED, "bad", S.FAILED, "bad")
+    calls = (tmp_path / "calls").read_text().splitlines()
+    assert calls.count("b/two.txt") <= 2  # once, and once more by itself if it came together with the bad one
+    with pytest.raises(RuntimeError):  # a task that fails says so and changes nothing
+        e.on_progress = lambda step, known: (_ for _ in ()).throw(RuntimeError("no disk")) if step == "embed" else None
+        e.index([a])
+    assert e.tasks().first().status == "failed" and e.counts().total == 4
+    e.on_progress = lambda step, known: e.stop() if step == "scan" else None
+    assert e.index([a]).status == "cancelled"
+    e.invalidate(bad.id, "broken")
+    assert e.file(bad.id).invalid_reason == "broken" and e.file(bad.id).is_invalid
+    assert e.embedder_for("multilingual") is embed
+
+
+def test_engine_models_config_and_failing_sides(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "index"), buckets=2)
+    e.put("model_platform", {"name": "local", "is_enable": True})
+    e.put("ai_model", {"name": "m1", "platform": "local", "model_types": "chat,vision", "is_enable": True}, "name", "platform")
+    e.put("ai_model", {"name": "m1", "platform": "local", "title": "First"}, "name", "platform")
+    assert e.find_model("m1", "local").title == "First" and e.models("vision", "local").count() == 1 == e.models().count()
+    assert [r.name for r in e.platforms(["local", "x"]).collect()] == ["local"] and e.platforms([]).count() == 0
+    e.set_config("locale", "fr")
+    e.set_config("locale", "de")
+    assert e.config("locale") == "de" and e.config("proxy", "none") == "none"
+    e.add_watch("/a")
+    e.add_watch("/b")
+    e.remove_watch("/a")
+    assert e.watched() == ["/b"]
+    other = Engine(spark, str(tmp_path / "index"), buckets=2)
+    other.set_config("x", "1")
+    with pytest.raises(ConcurrentChangeError):
+        e.set_config("x", "2")
+    e.store.refresh()
+    assert e.config("x") == "1"
+    e.embedder = lambda texts: 1 / 0
+    assert e.hybrid_search("any thing at all").collect() == []
 
 
 def test_engine_watches_late_events(spark, tmp_path):
@@ -335,7 +406,7 @@ def test_engine_watches_late_events(spark, tmp_path):
     docs.mkdir()
     for name in ("a.txt", "b.txt", "c.txt", "d.txt"):
         (docs / name).write_text(name)
-    e = Engine(spark, str(tmp_path / "index"))
+    e = Engine(spark, str(tmp_path / "index"), buckets=2)
     e.index([str(docs)])
     for name in ("a.txt", "b.txt"):
         (docs / name).unlink()
