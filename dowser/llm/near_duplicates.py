@@ -6,9 +6,11 @@ longest lists aside: of the T that must be met, all but some (`MERGED`, a share
 ones, so y is met at least that often in the others. The short lists are merged and those texts kept that occur often
 enough; whether a candidate is in the other lists is then looked up by binary search.
 
-Lists are called long by a table of approximate frequencies with a fixed number of cells, which every worker gets;
-the result does not depend on it, since any order that all texts use alike serves. Texts that are equal are
-collapsed first and come back by membership.
+Lists are called long by a table of approximate frequencies, which every worker gets. It has a few cells for each text, up
+to a fixed number; the result does not depend on it, since any order that all texts use alike serves. A short list that
+may still be very long, since many texts hold hardly anything else, is cut into chunks by the texts' ids, and every two
+chunks meet in a task of their own, which gives its meetings as it finds them. So no task holds a list or its pairs
+whole. Texts that are equal are collapsed first and come back by membership.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from dowser.llm.neighbours import ranges
 from dowser.session import cut_lineage, stored
 
 SHARE, WORDS, GRAM = 0.6, 30, 3
-CELLS = 1 << 17
+#: Cells of the table of frequencies for each text, and the least and most in all: 16 MB are sent to every worker at most.
+CELLS_EACH, LEAST_CELLS, MOST_CELLS = 4, 1 << 17, 1 << 22
+#: A list that may be longer is cut into chunks of about this many texts.
+LONG = 4096
 #: The share of a text's lists by which the merged lists are more than the least number that must be met.
 MERGED = 0.05
 #: Postings of one task of the merge, about.
@@ -112,9 +117,16 @@ def _prefix(size: int, share: float, merged: float) -> int:
     return min(size, size - int(np.ceil(share * size - 1e-9)) + int(_times(size, merged)))
 
 
+def long_list(table: np.ndarray) -> int:
+    """From which frequency of a cell on a list is cut: well above what cells have by chance."""
+    return max(LONG, 8 * int(table.mean()))
+
+
 def postings(reps: DataFrame, table, share: float, least_words: int, n: int, merged: float) -> DataFrame:
-    """(gram, id, size, place): each text in each of its short lists; `place` counts its lists from the shortest.
-    40 bits of the n-gram's hash name the list: lists that fall together only bring candidates."""
+    """(gram, first, second, chunk, id, size, place): each text in each of its short lists; `place` counts its lists from
+    the shortest. 40 bits of the n-gram's hash name the list: lists that fall together only bring candidates. In a
+    list that is cut, a text of chunk `chunk` comes once for each two chunks (first, second) of which it is in one."""
+    long = long_list(table.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, freq = _Hashes(), table.value
@@ -131,11 +143,20 @@ def postings(reps: DataFrame, table, share: float, least_words: int, n: int, mer
                     places.append(np.arange(len(short), dtype=np.int32))
                     gs.append(short)
                 if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.concatenate(gs) >> np.uint64(24)).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                        names=["gram", "id", "size", "place"])
-
-    return reps.select("id", "text").mapInArrow(run, "gram bigint, id bigint, size int, place int")
+                    gram, number, size, place = map(np.concatenate, (gs, ids, sizes, places))
+                    chunks = 1 + freq[_cell(gram, len(freq))].astype(np.int64) // long
+                    mixed = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    chunk = ((mixed >> np.uint64(33)).astype(np.int64) % chunks).astype(np.int32)
+                    again = np.repeat(np.arange(len(gram)), chunks)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                    gram, number, size, place, chunk = (x[again] for x in (gram, number, size, place, chunk))
+                    for b in range(0, len(gram), 1 << 18):
+                        e = slice(b, b + (1 << 18))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array((gram[e] >> np.uint64(24)).astype(np.int64)), pa.array(np.minimum(chunk[e], other[e]).astype(np.int32)), pa.array(np.maximum(chunk[e], other[e]).astype(np.int32)),
+                             pa.array(chunk[e]), pa.array(number[e]), pa.array(size[e]), pa.array(place[e])], names=["gram", "first", "second", "chunk", "id", "size", "place"])
+
+    return reps.select("id", "text").mapInArrow(run, "gram bigint, first int, second int, chunk int, id bigint, size int, place int")
 
 
 def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFrame:
@@ -146,37 +167,33 @@ def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFram
     only the rarest quarter of its lists are short, as the overlap must be larger against the larger text.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        gram, ids = group.column("gram").to_numpy(), group.column("id").to_numpy()
-        size, place = group.column("size").to_numpy(), group.column("place").to_numpy()
-        order = np.lexsort((ids, size, gram))
-        gram, ids, size, place = gram[order], ids[order], size[order], place[order]
-        edge = np.flatnonzero(np.diff(gram)) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        gram, ids, size, place, first, second, chunk = (group.column(c).to_numpy() for c in ("gram", "id", "size", "place", "first", "second", "chunk"))
+        order = np.lexsort((ids, size, second, first, gram))
+        gram, ids, size, place, first, second, chunk = (x[order] for x in (gram, ids, size, place, first, second, chunk))
+        edge = np.flatnonzero((np.diff(gram) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)) + 1
         start = np.concatenate([[0], edge])
         end = np.concatenate([edge, [len(gram)]])
         stop = np.repeat(end, end - start)
         # within a list sizes ascend: a partner is at most 1 / share times as large
         key = np.repeat(np.arange(len(start)), end - start).astype(np.float64) * (1 << 32)
         stop = np.minimum(stop, np.searchsorted(key + size, key + np.floor(size / share + 1e-9), "right"))
-        seen: list[np.ndarray] = []
-        count: list[np.ndarray] = []
         for i, j in ranges(np.arange(len(gram)) + 1, stop):
+            apart = (first[i] == second[i]) | (chunk[i] != chunk[j])  # of two chunks only their texts across
+            i, j = i[apart], j[apart]
             need = np.ceil(share / (1 + share) * (size[i] + size[j]) - 1e-9)
             times = np.minimum(_times(np.minimum(size[i], size[j]), merged), need).astype(np.int64)
             # the first `times` lists that the two share have at least need - times shared ones after them
             ok = (np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need) & (
-                np.maximum(place[i] - size[i], place[j] - size[j]) < times - need)
+                np.maximum(place[i] - size[i], place[j] - size[j]) < times - need) & (ids[i] != ids[j])
             i, j, times = i[ok], j[ok], times[ok]
-            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), times], axis=1)
-            if len(pair):
-                pair, met = _unique(pair)
-                seen.append(pair)
-                count.append(met)
-        pair = np.concatenate(seen) if seen else np.zeros((0, 3), np.int64)
-        met = np.concatenate(count) if count else np.zeros(0, np.int64)
-        return pa.table({"a": np.ascontiguousarray(pair[:, 0]), "b": np.ascontiguousarray(pair[:, 1]), "times": np.ascontiguousarray(pair[:, 2]), "met": met})
-
-    found = lists.groupBy(F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("part")).applyInArrow(run, "a bigint, b bigint, times bigint, met bigint")
+            if len(i):
+                pair, met = _unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), times], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in range(3)] + [pa.array(met)], names=["a", "b", "times", "met"])
+
+    part = F.pmod(F.xxhash64("gram", "first", "second"), F.lit(tasks)).alias("part")
+    found = lists.groupBy(part).applyInArrow(run, "a bigint, b bigint, times bigint, met bigint")
     return found.groupBy("a", "b", "times").agg(F.sum("met").alias("met")).where(F.col("met") >= F.col("times")).select("a", "b")
 
 
@@ -219,13 +236,14 @@ def verify(pairs: DataFrame, reps: DataFrame, share: float, least_words: int, n:
 
 
 def similar(df: DataFrame, key: str = "id", text: str = "content", share: float = SHARE, least_words: int = WORDS, n: int = GRAM,
-            cells: int = CELLS, merged: float = MERGED) -> DataFrame:
+            cells: int | None = None, merged: float = MERGED) -> DataFrame:
     """(a, b, share), a < b: representatives whose texts share at least `share` of their word n-grams.
 
     Lower case, words parted by spaces, tabs, CR and LF. Texts with fewer than `least_words` words, null and empty
     ones take no part; equal texts are one representative, see members().
     """
     reps = stored(representatives(df.where(F.length(text) >= 2 * least_words - 1), key, text).select("id", "text"))
+    cells = cells or min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_EACH * reps.count()).bit_length()))
     table = frequencies(reps, least_words, n, cells)
     lists = postings(reps, reps.sparkSession.sparkContext.broadcast(table), share, least_words, n, merged)
     tasks = 8 * (int(table.astype(np.int64).sum() * (1 - share + merged) / POSTINGS) // 8 + 1)

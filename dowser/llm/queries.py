@@ -62,10 +62,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.pairs(table(spark, sf_dir, "file_info"))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, share): the similar pairs of representatives; p4_members says which rows they stand for."""
+    return near_duplicates.similar(table(spark, sf_dir, "file_info")).select("a", "b", F.round("share", 6).alias("share"))
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, rep): every row with enough words and the least id with an equal content."""
+    return near_duplicates.members(near_duplicates.enough_words(table(spark, sf_dir, "file_info"), "id", "content"), "id", "content")
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "file_info"))
 
 
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_rows, n_links): rows that take part, and the ends of all links of their representatives, out of p4_groups."""
+    return p4_groups(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.col("id") == F.col("rep"), F.col("links")).otherwise(0)).alias("n_links"))
+
+
 def _garbled(spark: SparkSession, sf_dir: str, restored: bool) -> DataFrame:
     frames = [(table(spark, sf_dir, name), "id", text) for name, text in TEXTS]
     model = encoding.fit_on(frames)
@@ -134,7 +149,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_totals": p3_totals, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_members": p4_members, "p4_groups": p4_groups, "p4_totals": p4_totals, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
@@ -147,7 +162,15 @@ e as (select id, len(g) as n, unnest(g) as gram from g),
 shared as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as o from e a join e b on a.gram = b.gram and a.id < b.id group by all),
 pairs as (select id_a, id_b from shared where o >= 0.6 * (na + nb - o))
 """
+_REPS = _TRIPLES + """, t30 as (select t.id, t.content from t join w on w.id = t.id where len(w.w) >= 30),
+member as (select id, min(id) over (partition by content) as rep from t30),
+linked as (select id_a as a, id_b as b, o / (na + nb - o) as share from shared where o >= 0.6 * (na + nb - o) 
+  and id_a in (select id from member where id = rep) and id_b in (select id from member where id = rep))
+"""
 SQL = {
+    "p4_pairs": _REPS + "select a, b, round(share, 6) as share from linked",
+    "p4_members": _REPS + "select id, rep from member",
+    "p4_totals": _REPS + "select (select count(*) from member) as n_rows, 2 * (select count(*) from linked) as n_links",
     "p4_found": _TRIPLES + "select id_a, id_b from pairs",
     "p3_totals": " union all ".join(
         f"select '{name}' as src_table, count(*) as rows_cut, 0 as too_long, 0 as cut_wrong, sum(n) as covered from (select id, any_value({_SIZE.format(text)}) as n from {name} group by id) where n > {splitting.LIMIT}"

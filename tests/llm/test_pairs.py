@@ -110,6 +110,23 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert {(r.id, r.group_id) for r in N.groups(df).collect()} == {(i, root(i)) for i in ids}
 
 
+def test_lists_that_are_cut(spark, monkeypatch):
+    """A phrase that all texts hold, in lists cut into chunks: the same pairs, and no task gets a list whole."""
+    phrase = " ".join(f"p{i}" for i in range(40))
+    rng = np.random.default_rng(7)
+    rows = [(i, phrase + " " + " ".join(f"q{int(x)}" for x in rng.integers(0, 40, 3 + i % 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, content string")
+    own = {i: triples(t) for i, t in rows}
+    want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.6 * len(own[a] | own[b])}
+    monkeypatch.setattr(N, "LONG", 20)
+    assert {(r.id_a, r.id_b) for r in N.pairs(df).collect()} == want
+    reps = N.representatives(df, "id", "content").select("id", "text")
+    table = N.frequencies(reps, N.WORDS, N.GRAM, N.LEAST_CELLS)
+    lists = N.postings(reps, spark.sparkContext.broadcast(table), N.SHARE, N.WORDS, N.GRAM, N.MERGED)
+    most = lists.groupBy("gram", "first", "second").count().agg({"count": "max"}).first()[0]
+    assert table.max() >= 300 and most <= 4 * N.LONG
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id bigint, content string")
     assert N.pairs(df).collect() == [] and N.groups(df.limit(0)).collect() == []
