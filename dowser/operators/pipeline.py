@@ -16,11 +16,18 @@ Counter = Callable[[str], int]
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 #: From the strongest to the weakest boundary.
-_LEVELS = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"(?<=[.!?。！？])\s*", r"\s+", "")]
+_LEVELS = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"(?<=[.!?。！？])\s*", rf"\s+|(?<=[぀-ヿ㐀-䶿一-鿿豈-﫿])", "")]
+
+
+_IDEOGRAPH = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_TOKEN = re.compile(rf"[{_IDEOGRAPH}]|[^\s{_IDEOGRAPH}]+")
+#: A token and the blanks after it.
+_SPACED = re.compile(rf"(?:[{_IDEOGRAPH}]|[^\s{_IDEOGRAPH}]+)\s*")
 
 
 def count_words(text: str) -> int:
-    return len(text.split())
+    """Words; each character of a script without spaces is one."""
+    return sum(1 for _ in _TOKEN.finditer(text))
 
 
 def _units(text: str, capacity: int, count: Counter, level: int = 0) -> Iterator[str]:
@@ -46,7 +53,7 @@ def chunks(text: str, capacity: int = CAPACITY, overlap: int = OVERLAP, count: C
         if now and size + n > capacity:
             out.append("".join(u for u, _ in now).strip())
             kept: list[tuple[str, int]] = []
-            for word in reversed(re.findall(r"\S+\s*", "".join(u for u, _ in now))):
+            for word in reversed(_SPACED.findall("".join(u for u, _ in now))):
                 w = count(word)
                 if sum(k for _, k in kept) + w > overlap or sum(k for _, k in kept) + w + n > capacity:
                     break

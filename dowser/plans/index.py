@@ -133,23 +133,22 @@ def _category(ext: str) -> str:
     return f"case when {ext} in {_in(X.DOCUMENT_EXTS)} then 1 when {ext} in {_in(X.IMAGE_EXTS)} then 2 when {ext} in {_in(X.AUDIO_EXTS)} then 3 when {ext} in {_in(X.VIDEO_EXTS)} then 4 else 5 end"
 
 
-def _path_sql(words: list[str], limit: int = 20) -> str:
-    pattern = X.any_keyword(words).replace("'", "''")
+def _path_sql(words: list[str], pattern: str, limit: int = 20) -> str:
     hits = f"regexp_extract_all(path, '{pattern}')"
     matched = ", ".join(f"case when list_contains(list_transform({hits}, lambda h: lower(h)), '{w.lower()}') then '{w}' end" for w in words)
     return (f"found as (select len({hits})::double as score, 'path' as source, line_num, file_id, path, {_NAME} as name, {_EXT} as file_ext, {_category(_EXT)} as category, "
             f"list_filter([{matched}], lambda w: w is not null) as matched_keywords from lines where regexp_matches(path, '{pattern}') order by score desc, line_num limit {limit})")
 
 
-def _path_query(name: str, words: list[str]) -> None:
-    @query(name, _with("f", f", {_LINES}, {_path_sql(words)} select * from found"))
+def _path_query(name: str, words: list[str], pattern: str) -> None:
+    @query(name, _with("f", f", {_LINES}, {_path_sql(words, pattern)} select * from found"))
     def run(spark, d):
         return search.path_search_files(files(spark, d, "path"), " ".join(words))
 
 
-_path_query("path_search_single", ["report"])
-_path_query("path_search_multi", ["Meeting", "NOTE", "archive", "pdf"])
-_path_query("path_search_shadowed", ["doc", "docx", "do", "documents"])
+_path_query("path_search_single", ["report"], "(?i)report")
+_path_query("path_search_multi", ["Meeting", "NOTE", "archive", "pdf"], "(?i)(?:meeting|archive|note|pdf)")
+_path_query("path_search_shadowed", ["doc", "docx", "do", "documents"], "(?i)(?:documents|docx|doc|do)")
 
 _HYBRID = ["documents", "Desktop", "the"]
 
@@ -164,7 +163,7 @@ def _fusion(mode: str):
         return search.fuse(paths, semantic, mode)
 
     score = "s.score" if mode == "faithful" else "1 - s.score"
-    sql = f"""{_SEMANTIC}, {_LINES}, {_path_sql(_HYBRID)},
+    sql = f"""{_SEMANTIC}, {_LINES}, {_path_sql(_HYBRID, "(?i)(?:documents|desktop|the)")},
     s as (select path, min(score) as score, arg_min(matched_chunk_ids, (score, matched_chunk_ids)) as matched_chunk_ids from sem group by path),
     p as (select path, max(score) as score, arg_max(matched_keywords, score) as matched_keywords from found group by path)
     select round(case when p.path is null then 0.4 * ({score}) when s.path is null then p.score else 0.6 * p.score + 0.4 * ({score}) end, 6) as score,

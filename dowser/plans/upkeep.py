@@ -184,6 +184,18 @@ def chunk_documents(spark, d):
     return pipeline.chunked(table(spark, d, "documents"), "doc_id", "text")
 
 
+_TOKENS = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]|[^\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]+"
+
+
+@query("chunk_totals", f"""select count(*) filter (where n > 0) as documents, count(*) filter (where n > 1024) as in_several, 0 as too_long
+  from (select len(regexp_extract_all(text, '{_TOKENS}')) as n from documents where text is not null)""")
+def chunk_totals(spark, d):
+    """Of chunk_documents: documents with chunks, those with several, and chunks above the capacity."""
+    size = F.regexp_count("chunk_text", F.lit(r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|[^\s\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+"))
+    one = chunk_documents(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(size > pipeline.CAPACITY, 1).otherwise(0)).alias("long"))
+    return one.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") > 1).alias("in_several"), F.coalesce(F.sum("long"), F.lit(0)).alias("too_long"))
+
+
 @query("embed_metadata")
 def embed_metadata(spark, d):
     """The vector of every file's metadata sentence."""

@@ -138,6 +138,18 @@ def test_intent(spark, query, intent):
     assert one(spark, X.search_intent("q"), q=query) == intent
 
 
+def test_encryption_as_by_another_program(spark):
+    # openssl enc -aes-128-cbc, key 0123456789abcdef, vector fedcba9876543210
+    known = "6C8611A23E891A9FD3669048B22696CDF40051198086F3161ED2510EE7BE78A3"
+    assert one(spark, F.hex(X.encrypt("p", "0123456789abcdef", "fedcba9876543210")), p="Quarterly report.docx") == known
+    assert one(spark, X.decrypt(F.unhex("p"), "0123456789abcdef", "fedcba9876543210"), p=known) == "Quarterly report.docx"
+
+
+def test_chunks_of_a_script_without_spaces():
+    got = pipeline.chunks("今天我们看了那份报告。" * 3000)
+    assert len(got) > 20 and all(pipeline.count_words(c) <= pipeline.CAPACITY for c in got) and got[0][-5:] == got[1][:20][-5:]
+
+
 def leftmost_longest(text, words):
     low, n, i = text.lower(), 0, 0
     while i < len(low):
