@@ -25,6 +25,11 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "file_content_embedding"))
 
 
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, representative) of every row whose vector others have too, in any length."""
+    return neighbours.copies(table(spark, sf_dir, "file_content_embedding"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have a second piece."""
     found = [_pieces(table(spark, sf_dir, name), name, text).where(F.col("chunk_index") == 1).select("src_table", "row_id") for name, text in TEXTS]
@@ -140,6 +145,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (1 - F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("unused"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, without_tokens, overfull, overlapping, divided_in_vain) of p8_pack: containers that hold more than
+    their capacity or two pieces at one place, and texts that fit but were divided, of which there are none."""
+    packed = p8_pack(spark, sf_dir)
+    order = Window.partitionBy("container_id").orderBy("container_offset")
+    placed = packed.where("container_id is not null").withColumn("before", F.lag(F.col("container_offset") + F.col("n_tokens")).over(order))
+    bins = placed.agg(F.count_if(F.col("container_offset") + F.col("n_tokens") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("container_offset") < F.col("before")).alias("overlapping"))
+    rows = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") == 0).alias("without_tokens"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("divided_in_vain"))
+    names = ("documents", "without_tokens", "overfull", "overlapping", "divided_in_vain")
+    return rows.unionByName(bins, allowMissingColumns=True).agg(*(F.sum(n).alias(n) for n in names))
+
+
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the label of every document."""
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
@@ -149,7 +167,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_quality(spark, sf_dir).where("label = 'junk'").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_totals": p3_totals, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_members": p4_members, "p4_groups": p4_groups, "p4_totals": p4_totals, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill,
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_copies": p2_copies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_totals": p3_totals, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_members": p4_members, "p4_groups": p4_groups, "p4_totals": p4_totals, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_languages": p6_languages, "p6_stretches": p6_stretches, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_fill": p8_fill, "p8_totals": p8_totals,
            "p9_quality": p9_quality, "p9_found": p9_found}
 
 #: Sizes as TESTDATA.md defines them.
@@ -168,6 +186,7 @@ linked as (select id_a as a, id_b as b, o / (na + nb - o) as share from shared w
   and id_a in (select id from member where id = rep) and id_b in (select id from member where id = rep))
 """
 SQL = {
+    "p8_totals": "select count(*) as documents, count(*) filter (where coalesce(text, '') = '') as without_tokens, 0 as overfull, 0 as overlapping, 0 as divided_in_vain from documents",
     "p4_pairs": _REPS + "select a, b, round(share, 6) as share from linked",
     "p4_members": _REPS + "select id, rep from member",
     "p4_totals": _REPS + "select (select count(*) from member) as n_rows, 2 * (select count(*) from linked) as n_links",
