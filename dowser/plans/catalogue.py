@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dowser.plans import index, references, upkeep
+from dowser.plans import index, references, sources, upkeep
 
 FLAGSHIP = "semantic_search"
-MODULES = (index, references, upkeep)
+MODULES = (index, references, upkeep, sources)
 
 
 def queries() -> dict:

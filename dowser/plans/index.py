@@ -286,13 +286,12 @@ def scan_dir_filter(spark, d):
 @query("kept_content", _with("f", """, r as (select f.id, f.category, f.content, s.save_parsed_content as k from f join indexer_setting s on starts_with(f.path, s.root_path || '/') or starts_with(f.path, s.root_path || chr(92)))
   select id, case when coalesce(case category when 1 then k.document when 2 then k.image when 3 then k.audio when 4 then k.video else false end, false) then coalesce(content, '') else '' end as content from r"""))
 def kept_content(spark, d):
-    """The content that each file's root keeps. The settings are a fixed table of few rows, checked before it is broadcast."""
+    """The content that each file's root keeps. The settings are broadcast if there are few, which is checked."""
     settings = table(spark, d, "indexer_setting").select("root_path", "save_parsed_content")
-    if settings.limit(10_001).count() > 10_000:
-        raise ValueError("too many roots to broadcast")
+    few = settings.limit(10_001).count() <= 10_000
     f = files(spark, d, "path", "category", "content")
     up = f.where("length(path) > 0").select("*", F.explode(X.ancestors("path")).alias("root_path"))
-    return up.join(F.broadcast(settings), "root_path").select("id", X.kept_content("content", "category", "save_parsed_content").alias("content"))
+    return up.join(F.broadcast(settings) if few else settings, "root_path").select("id", X.kept_content("content", "category", "save_parsed_content").alias("content"))
 
 
 # --- filters, counts and pages ------------------------------------------------------------------------------------
@@ -332,6 +331,11 @@ def paths_page_asc(spark, d):
     return R.page(files(spark, d, "path"), 3, 25, F.asc_nulls_first("path"), "id")
 
 
+@query("paths_page_desc", _with("f", " select path from f order by id desc limit 25 offset 50"))
+def paths_page_desc(spark, d):
+    return R.path_page(files(spark, d, "path"), 3, 25, False)
+
+
 @query("updated_since", _with("f", f" select id, path from f where update_time > timestamp '{_SINCE}'"))
 def updated_since(spark, d):
     return R.updated_since(files(spark, d, "path", "update_time"), F.lit(_SINCE).cast("timestamp_ntz")).select("id", "path")
@@ -344,7 +348,7 @@ def updated_since_page(spark, d):
 
 @query("files_by_ids", _with("f", " select id, path, md5 from f where id in (7, 11, 12, 13, 500)"))
 def files_by_ids(spark, d):
-    return files(spark, d, "path", "md5").where(F.col("id").isin(7, 11, 12, 13, 500)).select("id", "path", "md5")
+    return R.by_names(files(spark, d, "path", "md5"), (7, 11, 12, 13, 500), "id").select("id", "path", "md5")
 
 
 @query("chunks_by_file", _with("e", ", hot as (select file_id from e where file_id is not null group by 1 order by count(*) desc, file_id limit 1) select id, chunk_index, chunk_text from e where file_id in (select file_id from hot)"))
@@ -453,6 +457,22 @@ def upsert_classify(spark, d):
     return R.upsert_plan(scan.select("path", F.expr("file_update_time + make_interval(0, 0, 0, 0, cast(id % 3 - 1 as int), 0, 0)").alias("modified")), f)
 
 
+@query("upsert_apply", _with("f", """, s as (select path, max(file_update_time + (id % 3 - 1) * interval 1 hour) as modified from (select id, path, file_update_time from f where path is not null
+  union all select id, path || '.new', file_update_time from f where path is not null) group by path),
+  k as (select path, arg_max(id, (file_update_time, id)) as id, arg_max(content_index_status, (file_update_time, id)) as st, max(file_update_time) as fu from f group by path),
+  plan as (select s.path, k.id, s.modified, case when k.path is null then 'new' when k.st = 3 and k.fu >= s.modified then 'skip' else 'update' end as action from s left join k on s.path = k.path)
+  select f.path, coalesce(p.modified, f.file_update_time) as file_update_time, case when p.id is null then f.content_index_status else 1 end as content_index_status
+  from f left join plan p on p.id = f.id and p.action = 'update' union all select path, modified, 1 from plan where action = 'new'"""))
+def upsert_apply(spark, d):
+    """The file table after the scan of upsert_classify; new files have new ids, which are not shown."""
+    f = files(spark, d, "path", "file_update_time", "content_index_status")
+    some = f.where("path is not null")
+    scan = some.select("id", "path", "file_update_time").unionByName(some.select("id", F.concat("path", F.lit(".new")).alias("path"), "file_update_time"))
+    times = scan.select("path", F.expr("file_update_time + make_interval(0, 0, 0, 0, cast(id % 3 - 1 as int), 0, 0)").alias("modified"))
+    wide = f.withColumns({"name": F.lit(""), "file_ext": F.lit(""), "category": F.lit(1), "meta_index_status": F.lit(1), "is_invalid": F.lit(False)})
+    return R.apply_upsert(times.groupBy("path").agg(F.max("modified").alias("modified")), wide).select("path", "file_update_time", "content_index_status")
+
+
 # --- events -------------------------------------------------------------------------------------------------------
 
 _RANK = "case kind when 'remove' then 0 when 'rename' then 1 when 'create' then 2 else 3 end"

@@ -63,9 +63,19 @@ def scan(spark: SparkSession, roots: Sequence[str], ignore_dirs: Sequence[str] =
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def write(path: str, data: bytes) -> None:
+    """Writes a file, and the directories that it lies in; for tasks."""
+    where, at = _opened(path)
+    where.create_dir(at.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(at) as stream:
+        stream.write(data)
+
+
 def kind_of(path: str) -> str | None:
     """'file' or 'directory', or None where there is neither."""
     where, at = _opened(path)
