@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dowser.functions.exprs import DOCUMENT_EXTS
+from dowser.sources.pdf import pdf
 
 MAX_CHARS = 30_000
 Extractor = Callable[[bytes, int], str]
@@ -186,47 +186,6 @@ def ods(data: bytes, most: int = MAX_CHARS) -> str:
     return _joined(iter(sheets), most)
 
 
-_STREAM = re.compile(rb"<<(.{0,600}?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOW = re.compile(rb"\((?P<s>(?:\\.|[^\\()])*)\)\s*(?P<op>Tj|'|\")|\[(?P<a>(?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(?P<n>T\*|T[dD]\b|BT\b)", re.S)
-_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
-_CONTROL = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(s: bytes) -> str:
-    def one(m: re.Match) -> bytes:
-        e = m.group(1)
-        return bytes([int(e, 8) & 255]) if e[:1].isdigit() else _CONTROL.get(e, b"" if e.endswith(b"\n") else e)
-
-    return _ESCAPE.sub(one, s).decode("cp1252", "replace")
-
-
-def pdf(data: bytes, most: int = MAX_CHARS) -> str:
-    """Text of the content streams, plain or deflated, in simple encodings. Lines lose their right blanks and are
-    put together without a separator."""
-    lines, size = [""], 0
-    for head, body in _STREAM.findall(data):
-        if b"/Image" in head or b"/Metadata" in head or b"/XObject" in head:
-            continue
-        if b"FlateDecode" in head:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error:
-                continue
-        for m in _SHOW.finditer(body):
-            if m["n"]:
-                lines.append("")
-                continue
-            if m["op"] in (b"'", b'"'):
-                lines.append("")
-            parts = [m["s"]] if m["s"] is not None else re.findall(rb"\(((?:\\.|[^\\()])*)\)", m["a"])
-            s = "".join(map(_pdf_string, parts))
-            lines[-1] += s
-            size += len(s)
-            if size > most > 0:
-                return "".join(line.rstrip() for line in lines)[:most]
-    return "".join(line.rstrip() for line in lines)
-
-
 REGISTRY: dict[str, Extractor] = {e: plain for e in ("txt", "log", "md", "mdx", "ini")} | {"docx": docx, "pptx": pptx, "odt": odt, "odp": odp, "ods": ods, "pdf": pdf} | {e: xlsx for e in ("xlsx", "xlsm", "xlam")}
 assert set(REGISTRY) <= set(DOCUMENT_EXTS)
 

@@ -1,5 +1,7 @@
+import hashlib
 import io
 import zipfile
+import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -13,7 +15,7 @@ from dowser import schemas as S
 from dowser.api import Engine, Setting
 from dowser.functions import exprs as X
 from dowser.operators import pipeline, references, relational, search
-from dowser.sources import extract
+from dowser.sources import extract, pdf
 from dowser.store import Change, ConcurrentChangeError
 from dowser.streaming import events as EV
 
@@ -235,6 +237,29 @@ def test_extractors():
     assert extract.text_of(b"\xff\xfe", "txt") == extract.text_of(b"junk", "docx") == extract.text_of(b"x", "exe") == extract.text_of(None, None) == ""
 
 
+def test_pdf_pages_fonts_object_streams_and_encryption():
+    cmap = b"1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0004> <4E00> endbfrange 1 beginbfrange <0005> <0006> [<0062> <00630064>] endbfrange"
+    pages = [b"<< /Type /Page /Contents 6 0 R >> ", b"<< /Type /Page /Contents [5 0 R] /Resources << /Font << /F1 8 0 R >> >> >>"]
+    head = b"4 0 7 %d " % len(pages[0])
+    first, packed = len(head), head + b"".join(pages)
+    body = zlib.compress(packed)
+
+    def stream(number, head, data):
+        return b"%d 0 obj << %s /Length %d >> stream\n%s\nendstream endobj\n" % (number, head, len(data), data)
+
+    parts = [b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [7 0 R 4 0 R] /Count 2 >> endobj\n",
+             stream(3, b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % first, body), stream(6, b"", b"BT (last ) Tj ET"),
+             stream(5, b"/Filter /FlateDecode", zlib.compress(b"BT /F1 9 Tf <00010002> Tj T* [<0004> -20 <00050006>] TJ ET")), b"8 0 obj << /Type /Font /ToUnicode 9 0 R >> endobj\n", stream(9, b"", cmap)]
+    assert pdf.pdf(b"".join(parts) + b"trailer << /Root 1 0 R >>") == "A一丂bcdlast"  # page 7 comes before page 4
+    owner, ident = b"\x07" * 32, b"id"
+    key = hashlib.md5(pdf._PAD + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()[:5]
+    own = hashlib.md5(key + (6).to_bytes(3, "little") + b"\0\0").digest()[:10]
+    locked = b"%PDF\n1 0 obj << /Pages 2 0 R >> endobj 2 0 obj << /Kids [4 0 R] >> endobj 4 0 obj << /Contents 6 0 R >> endobj " + stream(6, b"", pdf._rc4(own, b"BT (secret) Tj ET"))
+    assert pdf.pdf(locked + b"trailer << /Root 1 0 R /ID [<6964> <6964>] /Encrypt << /V 1 /R 2 /P -4 /O <" + owner.hex().encode() + b"> >> >>") == "secret"
+    assert pdf._rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    assert extract.text_of(locked + b"trailer << /Root 1 0 R /Encrypt << /V 5 >> >>", "pdf") == "" and pdf.pdf(b"") == ""
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab \n.", max_size=300), st.integers(1, 12), st.integers(0, 3))
 def test_chunks(text, capacity, overlap):
