@@ -29,7 +29,7 @@ from dowser.session import cut_lineage, stored
 
 SHARE, WORDS, GRAM = 0.6, 30, 3
 #: Cells of the table of frequencies for each text, and the least and most in all: 16 MB are sent to every worker at most.
-CELLS_EACH, LEAST_CELLS, MOST_CELLS = 4, 1 << 17, 1 << 22
+CELLS_EACH, LEAST_CELLS, MOST_CELLS = 2, 1 << 17, 1 << 22
 #: A list that may be longer is cut into chunks of about this many texts.
 LONG = 4096
 #: The share of a text's lists by which the merged lists are more than the least number that must be met.
@@ -192,8 +192,8 @@ def merge(lists: DataFrame, share: float, merged: float, tasks: int) -> DataFram
                 pair, met = _unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), times], axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in range(3)] + [pa.array(met)], names=["a", "b", "times", "met"])
 
-    part = F.pmod(F.xxhash64("gram", "first", "second"), F.lit(tasks)).alias("part")
-    found = lists.groupBy(part).applyInArrow(run, "a bigint, b bigint, times bigint, met bigint")
+    placed = lists.withColumn("part", F.pmod(F.xxhash64("gram", "first", "second"), F.lit(tasks))).repartition(tasks, "part")
+    found = placed.groupBy("part").applyInArrow(run, "a bigint, b bigint, times bigint, met bigint")
     return found.groupBy("a", "b", "times").agg(F.sum("met").alias("met")).where(F.col("met") >= F.col("times")).select("a", "b")
 
 
