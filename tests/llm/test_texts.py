@@ -8,7 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dowser.llm import encoding, language, quality, splitting
+from pyspark.sql import functions as F
+
+from dowser.llm import encoding, language, quality, samples, splitting
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 SENTENCES = {
@@ -70,6 +72,29 @@ def test_split_rows(spark):
         splitting.split(df, "content", "id", 10, 10)
 
 
+# --- samples ------------------------------------------------------------------------------------------------------
+
+
+def test_samples_are_the_least_hashes(spark):
+    rows = [(i, f"t{i}", "h") for i in range(500)] + [(7, "t7", "h")] * 300 + [(None, "x", "h"), (501, None, "h")]
+    df = spark.createDataFrame(rows, "id bigint, text string, _hash string").drop("_hash")
+    least = [r.text for r in df.where("id is not null and text is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << 62)).alias("h")).distinct().orderBy("h", "id").limit(20).collect()]
+    got = samples.sample(df, "id", ["text"], 20, F.col("text").isNotNull())
+    assert got.column(0).to_pylist() == least == samples.sample(df.repartition(7), "id", ["text"], 20, F.col("text").isNotNull()).column(0).to_pylist()
+    rare = samples.sample(df, "id", ["text"], 20, F.col("text") == "t3")  # few are usable: the share grows until all are seen
+    assert rare.column(0).to_pylist() == ["t3"]
+    assert samples.sample(df, "id", ["id", "text"], 5000, F.col("text").isNotNull()).num_rows == 500
+    assert samples.sample(df.limit(0), "id", ["text"], 20, F.col("text").isNotNull()).num_rows == 0
+
+
+def test_models_are_fitted_once(spark):
+    calls = []
+    fit = lambda: calls.append(1) or {"w": len(calls)}
+    assert samples.fitted(spark, "test", ["a", 1], fit) == samples.fitted(spark, "test", ["a", 1], fit) == {"w": 1}
+    samples._kept.clear()  # another driver reads the folder
+    assert samples.fitted(spark, "test", ["a", 1], fit) == {"w": 1} and samples.fitted(spark, "test", ["a", 2], fit) == {"w": 2}
+
+
 # --- garbled text -------------------------------------------------------------------------------------------------
 
 
@@ -93,6 +118,19 @@ def test_garbled_is_restored(classifier, right, wrong, times):
         assert restored == "Plain words. " + text and pieces and whole and chain
 
 
+@pytest.mark.parametrize(("right", "wrong"), [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("gbk", "cp1252"), ("gbk", "cp437")])
+def test_garbled_stretch_within_a_script_without_spaces(classifier, right, wrong):
+    a, b, c = SENTENCES["zh"][0], SENTENCES["zh"][1], SENTENCES["zh"][2]
+    bad = a + encoding.garbled(b, right, wrong) + c
+    assert encoding.inverted(encoding.garbled(b, right, wrong), right, wrong) == b
+    assert encoding.restore(classifier, bad)[0] == a + b + c
+
+
+def test_restoring_ends_where_chains_undo_each_other(classifier):
+    for text in ("È é Ã© â€™ Ð¿ Ñ€", "Ã", "ÃƒÂ©" * 50):
+        assert encoding.restore(classifier, text)[2] >= 0
+
+
 def test_lost_bytes_are_found_but_not_invented(classifier):
     bad = encoding.garbled(SENTENCES["de"][1], "cp1252", "utf-8")
     restored, _, pieces, whole = encoding.restore(classifier, bad)
