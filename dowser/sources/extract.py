@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from dowser.functions.exprs import DOCUMENT_EXTS
 from dowser.sources.pdf import pdf
+from dowser.sources.sheets import xls_sheets, xlsb_sheets
 
 MAX_CHARS = 30_000
 Extractor = Callable[[bytes, int], str]
@@ -186,7 +187,15 @@ def ods(data: bytes, most: int = MAX_CHARS) -> str:
     return _joined(iter(sheets), most)
 
 
-REGISTRY: dict[str, Extractor] = {e: plain for e in ("txt", "log", "md", "mdx", "ini")} | {"docx": docx, "pptx": pptx, "odt": odt, "odp": odp, "ods": ods, "pdf": pdf} | {e: xlsx for e in ("xlsx", "xlsm", "xlam")}
+def xls(data: bytes, most: int = MAX_CHARS) -> str:
+    return _joined(iter(xls_sheets(data)), most)
+
+
+def xlsb(data: bytes, most: int = MAX_CHARS) -> str:
+    return _joined(iter(xlsb_sheets(data)), most)
+
+
+REGISTRY: dict[str, Extractor] = {e: plain for e in ("txt", "log", "md", "mdx", "ini")} | {"docx": docx, "pptx": pptx, "odt": odt, "odp": odp, "ods": ods, "pdf": pdf, "xls": xls, "xla": xls, "xlsb": xlsb} | {e: xlsx for e in ("xlsx", "xlsm", "xlam")}
 assert set(REGISTRY) <= set(DOCUMENT_EXTS)
 
 

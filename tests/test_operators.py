@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zipfile
 import zlib
 from datetime import datetime, timedelta
@@ -260,6 +261,52 @@ def test_pdf_pages_fonts_object_streams_and_encryption():
     assert extract.text_of(locked + b"trailer << /Root 1 0 R /Encrypt << /V 5 >> >>", "pdf") == "" and pdf.pdf(b"") == ""
 
 
+def compound(stream):
+    """A compound file with one stream: large ones in sectors of their own, small ones in the root's."""
+    small = len(stream) < 4096
+    body = stream.ljust(-(-len(stream) // 512) * 512, b"\0")
+    n = len(body) // 512
+    fat = [0xFFFFFFFD, 0xFFFFFFFE] + [k + 3 for k in range(n - 1)] + [0xFFFFFFFE]
+    mini = b""
+    if small:
+        count = -(-len(stream) // 64)
+        mini = struct.pack("<128I", *[*range(1, count), 0xFFFFFFFE, *[0xFFFFFFFF] * (128 - count)])
+        fat.append(0xFFFFFFFE)
+
+    def entry(name, kind, start, size):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", *[0xFFFFFFFF] * 3) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    folder = entry("Root Entry", 5, 2 if small else 0xFFFFFFFE, len(body) if small else 0) + entry("Workbook", 2, 0 if small else 2, len(stream)) + b"\0" * 256
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIII", 0, 1, 1, 0, 4096)
+    head += struct.pack("<IIII", 2 + n if small else 0xFFFFFFFE, int(small), 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))) + folder + body + mini
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_binary_sheets(large):
+    rec = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    text = lambda t: struct.pack("<HB", len(t), 1) + t.encode("utf-16-le")
+    # the second string is cut by a record that continues it, in which it is encoded otherwise
+    sst = rec(0xFC, struct.pack("<II", 2, 2) + text("名前") + struct.pack("<HB", 6, 1) + "abc".encode("utf-16-le")) + rec(0x3C, b"\0def")
+    cell = lambda kind, column, body: rec(kind, struct.pack("<HHH", 1, column, 0) + body)
+    sheet = rec(0x809, struct.pack("<HH", 0x600, 0x10)) + cell(0xFD, 1, struct.pack("<I", 0)) + cell(0xFD, 2, struct.pack("<I", 1)) + cell(0x203, 3, struct.pack("<d", 2.5)) + cell(0x27E, 4, struct.pack("<I", 7 << 2 | 2))
+    sheet += cell(0x205, 5, b"\1\0") + cell(0x06, 6, b"\0" * 6 + b"\xff\xff" + b"\0" * 6) + rec(0x207, text("sum")) + rec(0xBD, struct.pack("<HHHIHIH", 2, 1, 0, 150 << 2 | 3, 0, (-3 & 0x3FFFFFFF) << 2 | 2, 2)) + rec(0x0A, b"")
+    stream = rec(0x809, struct.pack("<HH", 0x600, 5)) + sst + rec(0x0A, b"") + sheet + (rec(0x5555, b"\0" * 5000) if large else b"")
+    want = "名前\tabcdef\t2.5\t7\ttrue\tsum\t1.5\t-3\t\t\t\t\t"
+    assert extract.text_of(compound(stream), "xls") == want == extract.text_of(compound(stream), "XLA")
+    brt = lambda kind, body: bytes([kind, len(body)]) + body
+    wide = lambda t: struct.pack("<I", len(t)) + t.encode("utf-16-le")
+    at = lambda column, body: struct.pack("<II", column, 0) + body
+    rows = brt(0, struct.pack("<I", 3)) + brt(7, at(0, struct.pack("<I", 0))) + brt(2, at(1, struct.pack("<I", 7 << 2 | 2))) + brt(5, at(2, struct.pack("<d", 0.25))) + brt(4, at(3, b"\0")) + brt(6, at(4, wide("x")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.bin", bytes([0x9F, 1, 0]) + brt(19, b"\0" + wide("名")))
+        z.writestr("xl/worksheets/sheet1.bin", rows)
+    assert extract.text_of(out.getvalue(), "xlsb") == "名\t7\t0.25\tfalse\tx\t"
+    assert extract.text_of(b"junk", "xls") == extract.text_of(b"junk", "xlsb") == ""
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab \n.", max_size=300), st.integers(1, 12), st.integers(0, 3))
 def test_chunks(text, capacity, overlap):
