@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,31 +164,33 @@ class OrphanState:
             log = log.unionByName(new_parents.select("id", "since", "gone"))
         if deleted is not None:
             log = log.unionByName(deleted.where(F.col("gone").isNotNull()).select("id", F.lit(None).cast("timestamp_ntz").alias("since"), "gone"))
-        changed = self._write(log, "id", f"{at}/parents") if new_parents is not None or deleted is not None else set()
-        keep("parents", f"{at}/parents", changed)
-
-        came: set[int] = set()
+        new = None
         if refs is not None:
             new = refs.select("src_table", "row_id", "file_id", "at").dropDuplicates(["src_table", "row_id"])
             if old["refs"]:  # rows that were seen before are left out; at most as many numbers as buckets go to the driver
                 known = {r.b for r in refs.select(self._bucket("file_id").alias("b")).distinct().collect()}
                 new = new.join(self.table("refs", known).select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
-            came = self._write(new, "file_id", f"{at}/refs")
-            keep("refs", f"{at}/refs", came)
+        pair = ThreadPoolExecutor(2)  # either two tables are written at the same time
+        a = pair.submit(self._write, log, "id", f"{at}/parents") if new_parents is not None or deleted is not None else None
+        b = pair.submit(self._write, new, "file_id", f"{at}/refs") if new is not None else None
+        changed, came = a.result() if a else set(), b.result() if b else set()
+        keep("parents", f"{at}/parents", changed)
+        keep("refs", f"{at}/refs", came)
         now = OrphanState(self.spark, self.folder, self.buckets, self.version + 1, where)
         begun = starts(now.table("parents", changed | came))
 
+        b = pair.submit(self._write, probe(self._part("refs", f"{at}/refs", came), begun), "file_id", f"{at}/opened") if came else None
         if changed and old["refs"]:
             # arriving parents resolve or withdraw the orphans that wait for them, deletions reopen references
             keys = self._part("parents", f"{at}/parents", changed).select(F.col("id").alias("file_id")).distinct()
             again = self.table("refs", changed).join(keys, "file_id", "left_semi").select("src_table", "row_id", "file_id", "at")
             still = self.table("pending", changed).join(keys, "file_id", "left_anti").select("src_table", "row_id", "file_id", "at", "resolved_at")
             left = self._write(still.unionByName(probe(again, begun)), "file_id", f"{at}/pending")
-            for b in changed:
-                where["pending"].pop(b, None)
+            for k in changed:
+                where["pending"].pop(k, None)
             keep("pending", f"{at}/pending", left, True)
-        opened = self._write(probe(self._part("refs", f"{at}/refs", came), begun), "file_id", f"{at}/opened") if came else set()
-        keep("pending", f"{at}/opened", opened)
+        keep("pending", f"{at}/opened", b.result() if b else set())
+        pair.shutdown()
 
         touched = changed | came
         for name, key in (("refs", "file_id"), ("parents", "id"), ("pending", "file_id")):
