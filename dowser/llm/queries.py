@@ -185,7 +185,16 @@ member as (select id, min(id) over (partition by content) as rep from t30),
 linked as (select id_a as a, id_b as b, o / (na + nb - o) as share from shared where o >= 0.6 * (na + nb - o) 
   and id_a in (select id from member where id = rep) and id_b in (select id from member where id = rep))
 """
+#: Every vector against every other.
+_MUTUAL = """
+with v as (select id, any_value(embedding)::float[64] as e from file_content_embedding where len(embedding) = 64
+  and list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 group by id),
+d as (select a.id as a, b.id as b, 1 - array_cosine_similarity(a.e, b.e) as d from v a join v b on a.id <> b.id),
+r as (select a, b, d, row_number() over (partition by a order by d, b) as n from d where d <= 0.06)
+select x.a as id_a, x.b as id_b from r x join r y on x.a = y.b and x.b = y.a where x.n <= 5 and y.n <= 5 and x.a < x.b and x.d <= 0.05
+"""
 SQL = {
+    "p2_found": _MUTUAL,
     "p8_totals": "select count(*) as documents, count(*) filter (where coalesce(text, '') = '') as without_tokens, 0 as overfull, 0 as overlapping, 0 as divided_in_vain from documents",
     "p4_pairs": _REPS + "select a, b, round(share, 6) as share from linked",
     "p4_members": _REPS + "select id, rep from member",
