@@ -22,14 +22,13 @@ midway leaves the state as it was.
 from __future__ import annotations
 
 import json
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.session import Folder, ensure_checkpoint_dir
+from dowser.session import Folder, temporary_folder
 
 SALTS, BUCKETS = 16, 8
 #: A bucket whose rows lie in more batches than this is put together by the next batch that touches it.
@@ -103,8 +102,8 @@ class OrphanState:
 
     @staticmethod
     def empty(spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS) -> OrphanState:
-        """A new state in a folder that all executors share; by default one below the checkpoint folder."""
-        return OrphanState(spark, folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/orphans-{uuid.uuid4().hex}", buckets)
+        """A new state in a folder that all executors share; by default one that goes when the program ends."""
+        return OrphanState(spark, folder or temporary_folder(spark, "orphans"), buckets)
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> OrphanState:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dowser.session import Folder, ensure_checkpoint_dir
+from dowser.session import temporary_folder
 from dowser.sources import extract, files
 from dowser.tables import table
 
@@ -48,8 +47,7 @@ def made(ext: str, parts: list[str]) -> bytes:
 
 def scan_and_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of every customer, one of them in a hidden directory, which the scan leaves out."""
-    root = Folder(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}")
-    path = root.path
+    path = temporary_folder(spark, "files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,12 +92,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, compressed; for what is read more than once and is large. The table
-    is removed when the driver's program ends."""
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which is removed when the driver's program ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -106,4 +103,12 @@ def stored(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, compressed; for what is read more than once and is large. The table
+    is removed when the driver's program ends."""
+    folder = temporary_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
