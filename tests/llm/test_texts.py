@@ -285,3 +285,57 @@ def test_prose_and_junk(spark):
     right = sum((got[i] == "junk") == y for i, (y, _) in enumerate(held))
     assert right >= 0.9 * len(held)
     assert quality.assess(df.limit(0), words, count=300).collect() == []
+
+
+def corpus():
+    """More texts than a sample of 1,500 had, lists among them, one text above 20,000 characters, and repeated rows."""
+    r = random.Random(4)
+    every = [s for k in ("en", "de", "fr", "es") for s in SENTENCES[k]]
+    names = ["".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    texts = [f"{r.choice(every)} The {r.choice(names)} of the {r.choice(names)} is not the same as the {r.choice(names)} of last year {i % 900}." for i in range(1700)]
+    texts += ["\n".join(f"- the {n} {k}" for k, n in zip("abcdef", r.sample(names, 6), strict=True)) for _ in range(150)]
+    texts += [" ".join(f"A zyxwo of the {n} was seen here and there with the zyxwo number {i}." for i, n in enumerate(names * 2))] * 2
+    return [*texts, None, "", "  "]
+
+
+def test_quality_is_learned_from_all_rows(spark):
+    texts = corpus()
+    assert max(len(t or "") for t in texts) > samples.MOST_CHARS
+    df = spark.createDataFrame([(None if i % 100 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words = spark.createDataFrame([("the",), ("of",)], "word string")
+    whole, short = quality.spans([t for t in texts if t])
+    want = quality.Usage.learn([s for v in whole.values() for s in v], [s for v in short.values() for s in v])
+    got = quality.fit_on(df, words, count=300).usage
+    assert got.places(np.array([quality._hash("zyxwo")], np.uint64))[0] >= 0
+    assert (got.hashes == want.hashes).all() and (got.weight == want.weight).all() and (got.pair == want.pair).all()
+
+
+def test_rules_are_the_same_wherever_they_are_counted(spark):
+    df = spark.createDataFrame([(t,) for t in corpus()], "text string")
+    found = [quality.corpus_spans(x).localCheckpoint() for x in (df, df.repartition(7))]
+    common, size = quality.Lexicon(["the", "of"]), 400
+    usage = quality.corpus_usage(found[0])
+    blocks = [quality.corpus_blocks(x, common, usage, 300, size=size).localCheckpoint() for x in found]
+    assert blocks[0].count() == -(-found[0].count() // size) > 3 and sorted(blocks[0].collect()) == sorted(blocks[1].collect())
+    rules = quality.corpus_rules(blocks[0])
+    assert rules and rules == quality.corpus_rules(blocks[1], here=0)
+
+
+def test_every_span_is_in_a_labelled_document():
+    r = random.Random(6)
+    whole, short = quality.spans([t for t in corpus() if t])
+    whole["han"] = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(20)) + "。" for _ in range(30)]
+    builder = quality.Builder(*({k: list(set(v)) for k, v in by.items()} for by in (whole, short)), 1)
+    rows = list(builder.documents(10))
+    assert not any(deck.new for decks in (builder.sentences, builder.short) for deck in decks.values())
+    text = "".join(re.sub(r"\s", "", t) for _, t in rows)
+    assert all(s[:-1] in text or any(s[i : i + 4] in text for i in range(16)) for s in whole["han"])
+    assert [y for y, _ in rows[:4]] == [False, True, False, True] and len(rows) > 100
+
+
+def test_cells_rise_with_the_values():
+    x = np.sort(np.concatenate([np.random.default_rng(1).normal(0, 1, 500), [0, -1e-9, 1e-9, 1, -1, 2, 1e6, 5e8]]))
+    k = quality.cells(x).astype(int)
+    assert (np.diff(k) >= 0).all() and k[x == 0] == 0
+    assert all(quality._bound(i, False) <= v <= quality._bound(i, True) for v, i in zip(x, k.tolist(), strict=True))
+    assert all(quality.cells(quality._bound(i, up)) == i for i in {*k.tolist()} for up in (True, False))
